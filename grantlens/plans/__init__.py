@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eligibility",)
+MODULES = ("eligibility", "catalogues")
 
 
 def all_jobs():

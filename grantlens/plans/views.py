@@ -42,9 +42,41 @@ from (select l_orderkey as case_id, l_linenumber as ord, (l_orderkey * 7 + l_lin
 """
 
 
+# Form input as typed by applicants: text codes, text income, yes/no answers.
+FORMS = """
+select c_custkey as applicant_id, c_name as student_name,
+ case c_custkey % 9 when 0 then 'SC' when 1 then 'st' when 2 then 'BC' when 3 then 'MBC' when 4 then ' DNC ' when 5 then 'OBC' when 6 then 'GEN' when 7 then 'Muslim' else 'Jain' end as community,
+ case when c_custkey % 13 = 0 then null else cast(floor(abs(c_acctbal) * 60) as bigint) end as income,
+ case (c_custkey * 5) % 7 when 0 then 'ug' when 1 then 'PG' when 2 then 'diploma' when 3 then 'iti' when 4 then 'phd' when 5 then '' else null end as course,
+ case when (c_custkey * 23) % 7 = 0 then 'yes' else 'no' end as armed_forces,
+ case (c_custkey * 3) % 5 when 0 then '1st' when 1 then '2nd' when 2 then '3rd' when 3 then '4th' else null end as current_year,
+ case (c_custkey * 31) % 3 when 0 then 'government' when 1 then 'management' else 'other' end as quota_type,
+ case (c_custkey * 7) % 4 when 0 then 'Girls' when 1 then 'boy' when 2 then 'x' else '' end as gender,
+ case (c_custkey * 3) % 7 when 0 then null when 1 then 'KL' when 2 then 'maharashtra' when 3 then 'Tamilnadu' when 4 then 'up' when 5 then 'Assam' else 'Goa' end as state,
+ case (c_custkey * 7) % 10 when 0 then 'Salem' when 1 then 'All' when 2 then 'Chennai' else null end as district,
+ case (c_custkey * 29) % 4 when 0 then 'yes' when 1 then 'false' when 2 then 'maybe' else null end as first_graduate
+from customer
+"""
+
+# Uploads: the document types of a case, plus one row with an empty type now and then.
+UPLOADS = """
+select l_orderkey as case_id, case l_linenumber when 1 then 'aadhaar_card' when 2 then 'community_certificate' when 3 then 'income'
+ when 4 then 'tenth_marksheet' when 5 then 'bank_passbook' when 6 then 'bonafide' else '' end as upload_type
+from lineitem where (l_orderkey + l_linenumber) % 3 <> 0
+"""
+
+
 def applicants(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, APPLICANTS)
 
 
 def case_documents(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, CASE_DOCUMENTS)
+
+
+def forms(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, FORMS)
+
+
+def uploads(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, UPLOADS)
