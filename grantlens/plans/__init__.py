@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eligibility", "catalogues")
+MODULES = ("eligibility", "catalogues", "identity")
 
 
 def all_jobs():

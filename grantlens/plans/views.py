@@ -66,6 +66,38 @@ from lineitem where (l_orderkey + l_linenumber) % 3 <> 0
 """
 
 
+# Several extraction passes of one document.
+PASSES = """
+select distinct l_orderkey as doc_id, l_linenumber as pass_no,
+ case when (l_orderkey * 3 + l_linenumber) % 7 = 0 then null when (l_orderkey + l_linenumber) % 5 = 0 then concat('Arun Kumer ', case l_linenumber % 2 when 0 then 'K' else 'S' end)
+  when (l_orderkey + l_linenumber) % 11 = 0 then 'Priya D.' when l_orderkey % 3 = 0 then 'Arun Kumar' else case l_linenumber % 3 when 0 then 'ARUN KUMAR' else 'Arun  Kumar' end end as name,
+ cast(60 + (l_orderkey * 7 + l_linenumber * 11) % 35 as double) / 100 as name_conf,
+ case when (l_orderkey * 5 + l_linenumber) % 4 = 0 then null else cast(300 + (l_orderkey * 13 + l_linenumber * 17) % 200 as varchar(3)) end as marks,
+ cast(50 + (l_orderkey * 3 + l_linenumber * 19) % 45 as double) / 100 as marks_conf,
+ case when (l_orderkey + l_linenumber * 2) % 3 = 0 then null when l_linenumber % 2 = 0 then 'GOVT HSS SALEM' else 'GOVT HSS, MADURAI' end as school,
+ cast(70 + (l_orderkey + l_linenumber * 7) % 25 as double) / 100 as school_conf,
+ case when (l_orderkey + l_linenumber) % 2 = 0 then concat('0', cast(1 + l_linenumber as varchar(1)), '-05-2006') else null end as dob,
+ case when (l_orderkey * 2 + l_linenumber) % 3 = 0 then cast(10000000 + l_orderkey * 10 + l_linenumber as varchar(12)) else null end as register_number,
+ cast(55 + (l_orderkey * 11 + l_linenumber * 3) % 41 as double) as engine_conf
+from lineitem
+"""
+
+# What a case states and what its certificates show.
+CASE_FACTS = """
+select o_orderkey as case_id,
+ case o_orderkey % 6 when 0 then concat('Rs. ', cast(amount as varchar(12)), '/-') when 1 then concat('INR ', cast(amount as varchar(12)), '.00') when 2 then null when 3 then concat('-', cast(amount as varchar(12)))
+  else cast(amount as varchar(12)) end as income_certificate,
+ case o_orderkey % 5 when 0 then cast(amount + 1000 as varchar(12)) when 1 then null when 2 then concat(cast(amount as varchar(12)), ' rupees') else cast(amount as varchar(12)) end as income_stated,
+ case o_orderkey % 7 when 0 then null when 1 then '31-02-2026' when 2 then concat('2026-', mm, '-', dd) else concat(dd, '/', mm, '/', case when o_orderkey % 2 = 0 then '2025' else '2026' end) end as issue_date,
+ case o_orderkey % 4 when 0 then concat(dd, '.', mm, '.2026') else null end as valid_upto,
+ case o_orderkey % 8 when 0 then 'SC' when 1 then 'Most Backward Class (MBC)' when 2 then 'backward classes' when 3 then 'Other Backward Class' when 4 then null when 5 then 'Hindu - Scheduled Caste' when 6 then 'x (gen)' else 'Forward class people' end as community_certificate,
+ case o_orderkey % 3 when 0 then 'SC' when 1 then 'MBC' else 'bc' end as community_stated,
+ case o_orderkey % 4 when 0 then 'Single' when 1 then 'Joint' when 2 then 'Single' else null end as account_type,
+ case when o_custkey % 4 = 0 then 'parent' else 'student' end as income_applicant
+from (select o_orderkey, o_custkey, 50000 + (o_orderkey * 7919) % 500 * 1000 as amount, lpad(cast(1 + o_orderkey % 28 as varchar(2)), 2, '0') as dd,
+  lpad(cast(1 + o_orderkey % 12 as varchar(2)), 2, '0') as mm from orders) o
+"""
+
 def applicants(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, APPLICANTS)
 
@@ -80,3 +112,11 @@ def forms(spark: SparkSession, base: str) -> DataFrame:
 
 def uploads(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, UPLOADS)
+
+
+def passes(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, PASSES)
+
+
+def case_facts(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, CASE_FACTS)
