@@ -92,14 +92,14 @@ def judge(name: str, p: Field, s: Field) -> Column:
     return _outcome(p(FLAG_FIELDS[name]).isNull(), ~p(FLAG_FIELDS[name]))
 
 
-def _tally(p: Field, s: Field) -> Column:
+def tally_of(p: Field, s: Field) -> Column:
     total = F.lit(0)
     for c in CRITERIA:
         total = total + F.when(s(f"tests_{c}"), F.coalesce(judge(c, p, s), F.lit(0))).otherwise(0)
     return total
 
 
-def _rank(tally: Column, p: Field, s: Field) -> Column:
+def rank_of(tally: Column, p: Field, s: Field) -> Column:
     """Status as a rank. Any failure rules out; a gap holds back, except for two disability schemes."""
     course_fits = ~present(p("course")) | p("course").isin(*R.POTENTIAL_COURSES)
     likely = ((s("id") == R.POTENTIAL_SCHEME_WITH_COURSE) & course_fits) | (s("id") == R.POTENTIAL_SCHEME)
@@ -152,7 +152,7 @@ def scored_pairs(profiles: DataFrame, schemes: list[dict] | None = None) -> Data
     pairs = judged_pairs(profiles, schemes)
     p = profile_fields(pairs)
     pairs = pairs.withColumn("tally", sum((F.coalesce(f"o_{c}", F.lit(0)) for c in CRITERIA), F.lit(0)))
-    pairs = pairs.withColumn("rank", _rank(F.col("tally"), p, _scheme_field))
+    pairs = pairs.withColumn("rank", rank_of(F.col("tally"), p, _scheme_field))
     return pairs.withColumn("score", _score(F.col("rank"), p, _scheme_field).cast("int"))
 
 
@@ -242,8 +242,8 @@ def _ranked_array(profiles: DataFrame, schemes: list[dict] | None) -> Column:
     """All results of one applicant as an array sorted by status, score and catalogue order."""
     p = profile_fields(profiles)
     of = lambda r: (lambda name: r.getField("s").getField(name))
-    tallied = F.transform(_catalogue(schemes), lambda s: F.struct(s.alias("s"), _tally(p, s.getField).alias("tally")))
-    ranked = F.transform(tallied, lambda r: F.struct(r.getField("s").alias("s"), _rank(r.getField("tally"), p, of(r)).alias("rank")))
+    tallied = F.transform(_catalogue(schemes), lambda s: F.struct(s.alias("s"), tally_of(p, s.getField).alias("tally")))
+    ranked = F.transform(tallied, lambda r: F.struct(r.getField("s").alias("s"), rank_of(r.getField("tally"), p, of(r)).alias("rank")))
     return F.sort_array(F.transform(ranked, lambda r: F.struct(
         (-r.getField("rank")).alias("rank_key"), (-_score(r.getField("rank"), p, of(r)).cast("int")).alias("score_key"),
         of(r)("ord").alias("scheme_ord"), of(r)("id").alias("scheme_id"))))

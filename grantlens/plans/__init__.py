@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eligibility", "catalogues", "identity")
+MODULES = ("eligibility", "catalogues", "identity", "readiness")
 
 
 def all_jobs():

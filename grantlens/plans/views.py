@@ -98,6 +98,46 @@ from (select o_orderkey, o_custkey, 50000 + (o_orderkey * 7919) % 500 * 1000 as
   lpad(cast(1 + o_orderkey % 12 as varchar(2)), 2, '0') as mm from orders) o
 """
 
+# Applications: profile and document evidence of one case in one row.
+CASES = """
+select k as case_id, s as scheme_no,
+ case when k % 31 = 0 then null else full_name end as student_name, concat('MURUGAN ', ini) as parent_name,
+ case when k % 4 = 0 then 'parent' else 'student' end as income_applicant, case when k % 17 = 0 then null else concat(dd, '-', mm, '-', yy) end as dob,
+ category, income, gender, state, district, course, disabled, govt_school, agri_labor, armed_forces, first_graduate, quota_type,
+ case k % 5 when 0 then 'Undergraduate' when 1 then 'ug' when 2 then 'Diploma' when 3 then null else 'Postgraduate' end as level,
+ case k % 3 when 0 then 'GOVT COLLEGE SALEM' when 1 then 'Anna University' else null end as institution,
+ case k % 6 when 0 then '2025-26' when 1 then null else '2026-27' end as academic_year, k % 5 = 1 as is_renewal,
+ case k % 3 when 0 then true when 1 then false else null end as otr_generated, case k % 4 when 0 then true when 1 then false else null end as face_auth_device,
+ case when k % 9 in (0, 1) then cast(30 + k % 40 as int) else null end as disability_percentage, k % 9 in (0, 1, 2) as disability,
+ case k % 8 when 0 then full_name when 1 then concat(ini, ' ', base) when 2 then concat(replace(base, 'A', 'E'), ' ', ini) when 3 then null when 4 then lower(full_name) else full_name end as aadhaar_name,
+ case k % 7 when 0 then concat(yy, '-', mm, '-', dd) when 1 then null when 2 then concat(dd, '/', mm, '/', yy) else concat(dd, '-', mm, '-', yy) end as aadhaar_dob,
+ case k % 10 when 0 then null when 1 then 'RAMESH BABU' when 2 then concat(replace(base, 'A', 'E'), ' ', ini) else full_name end as tenth_name,
+ case k % 11 when 0 then '01-01-2001' when 1 then null else concat(dd, '.', mm, '.', yy) end as tenth_dob,
+ case k % 13 when 0 then 'RAMESH BABU' when 1 then null else full_name end as twelfth_name, case k % 6 when 0 then null else full_name end as bonafide_name,
+ case k % 12 when 0 then 'MURUGAN K' when 1 then null else full_name end as bank_holder, k % 9 <> 4 as has_income_doc,
+ case when k % 9 = 4 then null when k % 4 = 0 then concat('MURUGAN ', ini) when k % 6 = 1 then 'RAMESH BABU' when k % 6 = 2 then null else full_name end as income_name,
+ case when k % 9 = 4 or k % 5 = 3 then null when k % 5 = 1 then cast(floor(income * 1.05) as bigint) when k % 5 = 2 then income * 2 else income end as income_value,
+ case when k % 9 = 4 or k % 6 = 0 then null else 'TN-1234567' end as income_cert_number, case when k % 9 = 4 or k % 7 = 0 then null else 'Tahsildar' end as income_authority,
+ case when k % 9 = 4 or k % 7 = 0 then null when k % 7 = 1 then '31-02-2026' when k % 7 = 2 then concat('2026-', mm, '-', dd) else concat(dd, '/', mm, '/', case when k % 2 = 0 then '2025' else '2026' end) end as income_issue_date,
+ case when k % 9 <> 4 and k % 4 = 0 then concat(dd, '.', mm, '.2026') else null end as income_expiry_date,
+ case k % 5 when 0 then category when 1 then 'SC' when 2 then null else category end as community_category,
+ case k % 6 when 0 then course when 1 then 'Enginering' when 2 then 'Commerce' else null end as doc_course,
+ case k % 4 when 0 then 'ANNA UNIVERSITY' when 1 then 'GOVT COLLEGE OF SALEM' when 2 then null else 'XYZ POLYTECHNIC' end as doc_institution,
+ case k % 3 when 0 then 'tamil nadu' when 1 then 'Kerala' else null end as doc_state,
+ case k % 5 when 0 then 'SBIN0001234' when 1 then 'sbin0001234 ' when 2 then 'BAD' else null end as ifsc,
+ case k % 4 when 0 then true when 1 then false else null end as aadhaar_bank_linked, k % 3 = 0 as disability_cert,
+ case k % 4 when 0 then 'aadhaar_card,income,bank_passbook' when 1 then 'community_certificate,tenth_marksheet,bonafide,income' when 2 then ''
+  else 'aadhaar,income,community,bank_passbook,bonafide,class 12 marksheet,disability' end as uploads,
+ case k % 10 when 0 then 'income' when 1 then 'ms10,bank' else '' end as wrong_types, case k % 8 when 0 then 'ms10' when 1 then 'ms10,ms12,income' else '' end as low_quality,
+ k % 2 = 0 as previous_year_marks, cast(40 + k % 60 as int) as tenth_conf, cast(45 + k % 50 as int) as twelfth_conf, case when k % 3 = 0 then null else cast(35 + k % 65 as int) end as income_conf,
+ cast(30 + k % 70 as int) as community_conf
+from (select o_orderkey as k, o_orderkey % 27 as s, base, ini, concat(base, ' ', ini) as full_name, dd, mm, yy, a.* from
+ (select o_orderkey, o_custkey, case o_custkey % 6 when 0 then 'ARUN KUMAR' when 1 then 'PRIYADHARSHINI' when 2 then 'KARTHIKEYAN' when 3 then 'SENTHIL KUMAR' when 4 then 'BALASUBRAMANIAM' else 'DIVYA' end as base,
+  case o_custkey % 4 when 0 then 'K' when 1 then 'S' when 2 then 'M' else 'R' end as ini, lpad(cast(1 + o_custkey % 28 as varchar(2)), 2, '0') as dd,
+  lpad(cast(1 + o_custkey % 12 as varchar(2)), 2, '0') as mm, cast(2003 + o_custkey % 6 as varchar(4)) as yy from orders) o
+ join (""" + APPLICANTS.strip() + """) a on a.applicant_id = o.o_custkey) c
+"""
+
 def applicants(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, APPLICANTS)
 
@@ -120,3 +160,13 @@ def passes(spark: SparkSession, base: str) -> DataFrame:
 
 def case_facts(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, CASE_FACTS)
+
+
+def cases(spark: SparkSession, base: str) -> DataFrame:
+    """Applications with the id of their scheme resolved from its number."""
+    from pyspark.sql import functions as F
+
+    from grantlens.operators.readiness import scheme_dimension
+
+    ids = F.array(*[F.lit(r["id"]) for r in scheme_dimension()])
+    return sql_over(spark, base, CASES).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
