@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from grantlens.functions import dates as D
 from grantlens.functions.banding import PROFILE_BANDS, band, js_round
 from grantlens.functions.categories import to_category
-from grantlens.functions.names import name_similarity
+from grantlens.functions.names import letters_key, name_similarity, similarity
 from grantlens.functions.text import blank_to_null
 from grantlens.operators.catalogues import document_satisfies
 from grantlens.operators.eligibility import SCHEME_TYPES, rank_of, tally_of, prepare_schemes, profile_fields
@@ -81,18 +81,20 @@ def prepare_cases(cases: DataFrame, as_of: Column, legacy_documents: bool = Fals
     joined = cases.join(scheme, "scheme_id")
     p = profile_fields(cases)
     s = lambda name: F.col("scheme").getField(name)
-    differs = lambda c: F.when(F.col(c).isNotNull() & (name_similarity(F.col("student_name"), F.col(c)) < 0.75), 1).otherwise(0)
-    mismatches = sum((differs(c) for c in ("aadhaar_name", "tenth_name", "twelfth_name", "bank_holder", "bonafide_name")), F.lit(0))
+    compared = ("student_name", "aadhaar_name", "tenth_name", "twelfth_name", "bank_holder", "bonafide_name")
+    joined = joined.withColumns({f"k_{c}": letters_key(F.col(c)) for c in compared})
+    differs = lambda c: F.when(F.col(c).isNotNull() & (similarity(F.col("k_student_name"), F.col(f"k_{c}")) < 0.75), 1).otherwise(0)
+    mismatches = sum((differs(c) for c in compared[1:]), F.lit(0))
     uploads = _listed("uploads")
     missing = F.filter("required_labels", lambda label: ~F.exists(uploads, lambda u: document_satisfies(label, u, legacy_documents)))
     joined = joined.withColumns({
         "tally": tally_of(p, s), "missing_labels": missing, "n_required": F.size("required_labels"), "n_uploads": F.size(uploads),
         "n_wrong": F.size(_listed("wrong_types")), "n_low_quality": F.size(_listed("low_quality")),
         "n_name_mismatch": F.when(F.col("student_name").isNull(), 0).otherwise(mismatches),
-        "sim_income": name_similarity(F.col("student_name"), F.col("income_name")),
+        "sim_income": similarity(F.col("k_student_name"), letters_key(F.col("income_name"))),
         "sim_course": name_similarity(F.col("course"), F.col("doc_course")),
         "sim_institution": name_similarity(F.col("institution"), F.col("doc_institution")),
-        "sim_bank": name_similarity(F.col("student_name"), F.col("bank_holder")),
+        "sim_bank": similarity(F.col("k_student_name"), F.col("k_bank_holder")),
         "p_dob": D.dashed_date(F.col("dob")), "tenth_dob_d": D.dashed_date(F.col("tenth_dob")), "aadhaar_dob_d": D.dashed_date(F.col("aadhaar_dob")),
         "ifsc_valid": valid_ifsc(F.col("ifsc")),
         "income_validity": certificate_expiry(as_of, F.col("income_issue_date"), F.col("income_expiry_date"), 12),

@@ -138,6 +138,31 @@ from (select o_orderkey as k, o_orderkey % 27 as s, base, ini, concat(base, ' ',
  join (""" + APPLICANTS.strip() + """) a on a.applicant_id = o.o_custkey) c
 """
 
+# Questions: what users wrote, and one templated question per customer.
+UTTERANCES = """
+select conv_id * 1000 + turn as utterance_id, text from conversations where role = 'user'
+union all
+select 1000000000 + c_custkey as utterance_id,
+ case c_custkey % 24
+  when 0 then concat('I am ', cat, ' ', lower(course), ' student from ', dist, ', family income is ', lakh, ' lakh')
+  when 1 then concat('what is ', acr, '?') when 2 then concat('what is the eligibility for ', lower(st), ' ', lower(cat), ' ', lower(course), ' scholarship')
+  when 3 then 'Hi' when 4 then concat('am i eligible for ', cat, ' scholarship? income ', cast(amount as varchar(12))) when 5 then 'who are you'
+  when 6 then concat('documents needed for ', st, ' ', lower(cat), ' ', lower(course), ' scholarship') when 7 then 'how to apply on NSP'
+  when 8 then concat(pct, '% disability ', lower(course), ' student') when 9 then concat('my salary was Rs ', cast(amount as varchar(12)), ' a year')
+  when 10 then 'why should i apply for scholarship' when 11 then concat('full form of ', acr, ' and UGC') when 12 then 'check dbt status, npci mapping'
+  when 13 then concat('first graduate ', case c_custkey % 2 when 0 then 'boy' else 'girl' end, ' from ', st, ' govt school') when 14 then 'my application rejected, name mismatch in aadhaar'
+  when 15 then concat('7.5% quota for ', lower(course)) when 16 then cast(amount as varchar(12)) when 17 then 'is aadhaar mandatory'
+  when 18 then concat('son of farmer in ', dist, ' earning ', lakh, ' lpa, studying B.Sc') when 19 then concat('last date to apply for ', lower(st), ' ', lower(cat), ' ', lower(course))
+  when 20 then concat('ex-servicemen ward, class 12, private school, tn, income around ', cast(c_custkey % 90 + 10 as varchar(3)), 'k') when 21 then 'umis portal renewal process'
+  when 22 then concat('2,', cast(10 + c_custkey % 89 as varchar(2)), ',000 annual income general category') else concat('tell me about the weather in ', dist) end as text
+from (select c_custkey, case c_custkey % 7 when 0 then 'SC' when 1 then 'ST' when 2 then 'OBC' when 3 then 'Minority' when 4 then 'EWS' when 5 then 'General' else 'MBC' end as cat,
+ case c_custkey % 5 when 0 then 'Engineering' when 1 then 'Medical' when 2 then 'Arts' when 3 then 'Science' else 'Diploma' end as course,
+ case c_custkey % 11 when 0 then 'Salem' when 1 then 'Madurai' when 2 then 'Erode' when 3 then 'Mumbai' else 'Theni' end as dist,
+ case c_custkey % 13 when 0 then 'Karnataka' when 1 then 'Tamil Nadu' when 2 then 'West Bengal' when 3 then 'up' when 4 then 'Kerala' else 'Bihar' end as st,
+ case c_custkey % 4 when 0 then 'NSP' when 1 then 'DBT' when 2 then 'PFMS' else 'EMIS' end as acr, concat(cast(1 + c_custkey % 9 as varchar(1)), '.5') as lakh,
+ 20000 + (c_custkey * 7919) % 500 * 1000 as amount, cast(20 + c_custkey % 60 as varchar(2)) as pct from customer) c
+"""
+
 def applicants(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, APPLICANTS)
 
@@ -170,3 +195,7 @@ def cases(spark: SparkSession, base: str) -> DataFrame:
 
     ids = F.array(*[F.lit(r["id"]) for r in scheme_dimension()])
     return sql_over(spark, base, CASES).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
+
+
+def utterances(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, UTTERANCES)

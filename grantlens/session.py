@@ -45,3 +45,20 @@ def sql_over(spark: SparkSession, base: str, text: str) -> DataFrame:
     used = {t for t in TABLES if re.search(rf"\b{t}\b", text)}
     bound = re.sub(r"\b(from|join)\s+(" + "|".join(TABLES) + r")\b", r"\1 {\2}", text, flags=re.I)
     return spark.sql(bound, **{t: table(spark, base, t) for t in used})
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate result that several branches read.
+
+    The rows go to the shared checkpoint folder the cluster names, so they survive lost
+    executors. Only where no folder is named (tests, local runs) one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="run-")
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
