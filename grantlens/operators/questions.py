@@ -180,9 +180,10 @@ def token_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     Query tokens shrink to (query, token, count) first. The containment bonus needs the
     texts; only pairs whose shared tokens still allow containment fetch them.
     """
-    q = queries.select("q_id", F.size(F.array_distinct("q_tokens")).alias("q_distinct"), F.explode("q_tokens").alias("token"))
-    q = q.groupBy("q_id", "q_distinct", "token").agg(F.count(F.lit(1)).alias("times"))
-    c = corpus.select("c_ord", F.array_distinct("c_tokens").alias("c_tokens")).select("c_ord", F.size("c_tokens").alias("c_distinct"), F.explode("c_tokens").alias("token"))
+    q = queries.select("q_id", F.size(F.array_distinct("q_tokens")).alias("q_distinct"), "q_tokens")
+    q = q.select("q_id", "q_distinct", F.explode("q_tokens").alias("token")).groupBy("q_id", "q_distinct", "token").agg(F.count(F.lit(1)).alias("times"))
+    c = corpus.select("c_ord", F.array_distinct("c_tokens").alias("c_tokens"))
+    c = c.select("c_ord", F.size("c_tokens").alias("c_distinct"), "c_tokens").select("c_ord", "c_distinct", F.explode("c_tokens").alias("token"))
     sized = q.join(c, "token").groupBy("q_id", "c_ord", "q_distinct", "c_distinct").agg(F.sum("times").alias("hits"), F.count(F.lit(1)).alias("shared"))
     sized = sized.withColumn("score", F.col("hits") / (F.col("q_distinct") + F.col("c_distinct") - F.col("shared")))
     maybe = sized.filter("shared >= c_distinct - 2 or shared >= q_distinct - 2").select("q_id", "c_ord")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eligibility", "catalogues", "identity", "readiness", "questions")
+MODULES = ("eligibility", "catalogues", "identity", "readiness", "questions", "documents")
 
 
 def all_jobs():

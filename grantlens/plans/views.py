@@ -163,6 +163,29 @@ from (select c_custkey, case c_custkey % 7 when 0 then 'SC' when 1 then 'ST' whe
  20000 + (c_custkey * 7919) % 500 * 1000 as amount, cast(20 + c_custkey % 60 as varchar(2)) as pct from customer) c
 """
 
+# Texts: the documents, the pages without their tags, and one templated certificate per order.
+CERTIFICATES = """
+select o_orderkey as doc_id, slot,
+ case slot
+  when 'income' then concat('GOVERNMENT OF TAMIL NADU\nINCOME CERTIFICATE\nCertificate No: TN-', cast(1000000 + o_orderkey as varchar(12)), '\nThis is to certify that ', nm, ' son of MURUGAN ', ini, ' residing at Salem Taluk\nAnnual Income: Rs. ', cast(amount as varchar(12)), ' per annum\nDate of Issue: ', issued, '\nTahsildar')
+  when 'community' then concat('COMMUNITY CERTIFICATE\nThis is to certify that ', nm, ' daughter of RAMAN ', ini, ' belongs to Hindu ', cat, ' community\nTaluk: Omalur\nDistrict: Salem\nCert No: REV/2024/', cast(10000 + o_orderkey % 90000 as varchar(8)), '\nDate of Issue: ', issued)
+  when 'ms10' then concat('STATE BOARD OF SCHOOL EXAMINATIONS, TAMIL NADU\nSECONDARY SCHOOL LEAVING CERTIFICATE\nNAME OF THE CANDIDATE: ', nm, '\nDATE OF BIRTH: ', dob, '\nTAMIL 0', cast(60 + o_orderkey % 39 as varchar(2)), '\nENGLISH 0', cast(55 + o_orderkey % 44 as varchar(2)), '\nMATHEMATICS 0', cast(50 + o_orderkey % 49 as varchar(2)), '\nTOTAL MARKS ', cast(scored as varchar(4)), ' / 500\nRESULT: PASS\nNAME OF THE SCHOOL: GOVT HIGHER SECONDARY SCHOOL')
+  when 'ms12' then concat('HIGHER SECONDARY COURSE CERTIFICATE\nSTATEMENT OF MARKS\nNAME OF THE CANDIDATE\n', nm, '\nPHYSICS 0', cast(60 + o_orderkey % 39 as varchar(2)), '\nCHEMISTRY 0', cast(55 + o_orderkey % 44 as varchar(2)), '\nBIOLOGY 0', cast(50 + o_orderkey % 49 as varchar(2)), '\nGRAND TOTAL: ', cast(scored as varchar(4)), '/600\nPERCENTAGE: ', cast(scored % 60 + 35 as varchar(3)), '%\nREGISTER NUMBER: ', cast(20000000 + o_orderkey as varchar(12)))
+  when 'bankpass' then concat('CANARA BANK\nSAVINGS BANK PASSBOOK\nAccount Number: ', cast(100000000000 + o_orderkey as varchar(14)), '\nIFSC: CNRB0001234\nCHENNAI')
+  else concat('S0METHING UNREAD ', ini) end as text
+from (select o_orderkey, case o_orderkey % 6 when 0 then 'income' when 1 then 'community' when 2 then 'ms10' when 3 then 'ms12' when 4 then 'bankpass' else 'aadhaar' end as slot,
+ concat(case o_custkey % 6 when 0 then 'ARUN KUMAR' when 1 then 'PRIYADHARSHINI' when 2 then 'KARTHIKEYAN' when 3 then 'SENTHIL KUMAR' when 4 then 'BALASUBRAMANIAM' else 'DIVYA' end, ' ', case o_custkey % 4 when 0 then 'K' when 1 then 'S' when 2 then 'M' else 'R' end) as nm,
+ case o_custkey % 4 when 0 then 'K' when 1 then 'S' when 2 then 'M' else 'R' end as ini, 20000 + (o_orderkey * 7919) % 500 * 1000 as amount,
+ case o_orderkey % 5 when 0 then 'SC' when 1 then 'MBC' when 2 then 'BC' when 3 then 'ST' else 'Most Backward Class' end as cat, 250 + o_orderkey % 240 as scored,
+ concat(lpad(cast(1 + o_orderkey % 28 as varchar(2)), 2, '0'), '-', lpad(cast(1 + o_orderkey % 12 as varchar(2)), 2, '0'), '-', case when o_orderkey % 4 = 0 then '2024' else '2026' end) as issued,
+ concat(lpad(cast(1 + o_custkey % 28 as varchar(2)), 2, '0'), '/', lpad(cast(1 + o_custkey % 12 as varchar(2)), 2, '0'), '/', cast(2003 + o_custkey % 6 as varchar(4))) as dob from orders) o
+"""
+TEXTS = """
+select concat('d', cast(doc_id as varchar(20))) as text_id, text from documents
+union all select concat('p', cast(page_id as varchar(20))) as text_id, regexp_replace(html, '<[^>]*>', ' ', 'g') as text from pages
+union all select concat('c', cast(doc_id as varchar(20))) as text_id, text from (""" + CERTIFICATES.strip() + """) c
+"""
+
 def applicants(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, APPLICANTS)
 
@@ -199,3 +222,12 @@ def cases(spark: SparkSession, base: str) -> DataFrame:
 
 def utterances(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, UTTERANCES)
+
+
+def certificates(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, CERTIFICATES)
+
+
+def texts(spark: SparkSession, base: str) -> DataFrame:
+    """Spark replaces all tags without the flag the comparison engine needs."""
+    return sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')"))
