@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eligibility", "catalogues", "identity", "readiness", "questions", "documents")
+MODULES = ("eligibility", "catalogues", "identity", "readiness", "questions", "documents", "raster", "evaluation")
 
 
 def all_jobs():

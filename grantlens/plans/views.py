@@ -186,6 +186,39 @@ union all select concat('p', cast(page_id as varchar(20))) as text_id, regexp_re
 union all select concat('c', cast(doc_id as varchar(20))) as text_id, text from (""" + CERTIFICATES.strip() + """) c
 """
 
+# Results of an extraction run with their truth.
+RESULTS = """
+select o_orderkey as manifest_ord, concat('img_', cast(o_orderkey % 9000 as varchar(8)), '.jpg') as image_path, concat('COHORT_', cast(o_custkey as varchar(10))) as cohort_id,
+ case o_orderkey % 4 when 0 then '10th_marksheet' when 1 then '12th_marksheet' when 2 then 'community_certificate' else 'income_certificate' end as document_type,
+ case o_orderkey % 3 when 0 then 'shadow_uneven' else 'clean_scan' end as degradation, nm as truth,
+ case o_orderkey % 11 when 0 then null when 1 then replace(nm, 'A', 'E') when 2 then concat(nm, ' X') when 3 then lower(nm) when 4 then 'RAMESH BABU' when 5 then replace(nm, 'I', '1') when 6 then base else nm end as predicted,
+ dob as t_dateOfBirth, case o_orderkey % 13 when 0 then null when 1 then '01-01-2001' else replace(dob, '-', '/') end as p_dob,
+ cast(35 + (o_orderkey * 17) % 64 as int) as confidence,
+ case when o_orderkey % 11 = 0 then 'NOT_DETECTED' when 35 + (o_orderkey * 17) % 64 >= 75 then 'HIGH_CONFIDENCE' else 'NEEDS_REVIEW' end as status,
+ case when o_orderkey % 5 = 0 then 'NOT_DETECTED' when 35 + (o_orderkey * 11) % 64 >= 80 then 'HIGH_CONFIDENCE' else 'NEEDS_REVIEW' end as status_before,
+ concat('TN-', cast(1000000 + o_orderkey as varchar(12))) as t_certificateNumber, case o_orderkey % 9 when 0 then null when 1 then concat('TN-', cast(1000001 + o_orderkey as varchar(12))) else concat('tn ', cast(1000000 + o_orderkey as varchar(12))) end as p_certificateNumber,
+ concat(cast(35 + o_orderkey % 60 as varchar(3)), '.5') as t_percentage, case o_orderkey % 8 when 0 then null when 1 then concat(cast(38 + o_orderkey % 60 as varchar(3)), '.5%') else concat(cast(36 + o_orderkey % 60 as varchar(3)), '.0%') end as p_percentage,
+ concat('MURUGAN ', ini) as t_parentName, case o_orderkey % 7 when 0 then null when 1 then 'MURUGEN' else concat('Murugan ', ini) end as p_parentName,
+ case o_orderkey % 4 when 0 then 'GOVT HR SEC SCHOOL, SALEM' when 1 then 'Government Higher Secondary School Salem' when 2 then 'ANNA ENGINEERING COLLEGE' else null end as school_a,
+ case o_orderkey % 5 when 0 then 'GOVT. HIGHER SECONDARY SCHOOL SALEM' when 1 then 'Anna Engg. College Chennai' when 2 then 'Govt HSS' else 'XYZ MATRICULATION SCHOOL' end as school_b
+from (select o_orderkey, o_custkey, base, ini, concat(base, ' ', ini) as nm, concat(lpad(cast(1 + o_custkey % 28 as varchar(2)), 2, '0'), '-', lpad(cast(1 + o_custkey % 12 as varchar(2)), 2, '0'), '-', cast(2003 + o_custkey % 6 as varchar(4))) as dob from
+ (select o_orderkey, o_custkey, case o_custkey % 6 when 0 then 'ARUN KUMAR' when 1 then 'PRIYADHARSHINI' when 2 then 'KARTHIKEYAN' when 3 then 'SENTHIL KUMAR' when 4 then 'BALASUBRAMANIAM' else 'DIVYA' end as base,
+  case o_custkey % 4 when 0 then 'K' when 1 then 'S' when 2 then 'M' else 'R' end as ini from orders) o1) o
+"""
+
+# Feedback records and file uploads.
+INTAKE = """
+select conv_id * 1000 + turn as record_id, case (conv_id + turn) % 6 when 0 then ' ' else concat('User ', cast(conv_id as varchar(10))) end as name,
+ case (conv_id * 3 + turn) % 5 when 0 then 'a@b' when 1 then '' when 2 then 'x y@z.in' else concat('u', cast(conv_id as varchar(10)), '@mail.in') end as email,
+ case turn % 4 when 0 then '' else 'bug' end as issue_type, text as message, case when conv_id % 7 = 0 then repeat('c', 4001) else null end as comment,
+ cast((conv_id + turn * 3) % 8 - 1 as double) as rating, case when (conv_id + turn) % 9 = 0 then 'short' else 'token-token-token-token-1' end as captcha_token
+from conversations
+"""
+FILES = """
+select o_orderkey as file_id, concat('u/', cast(o_orderkey as varchar(12)), '.', case o_orderkey % 6 when 0 then 'JPG' when 1 then 'pdf' when 2 then 'txt' when 3 then 'docx' when 4 then 'png' else 'bin' end) as path,
+ case o_orderkey % 5 when 0 then 'image/png' when 1 then 'text/plain' when 2 then null else 'application/pdf' end as mime, o_orderkey * 104729 % 20000000 as length, cast(o_orderkey % 6 as int) as pages from orders
+"""
+
 def applicants(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, APPLICANTS)
 
@@ -231,3 +264,18 @@ def certificates(spark: SparkSession, base: str) -> DataFrame:
 def texts(spark: SparkSession, base: str) -> DataFrame:
     """Spark replaces all tags without the flag the comparison engine needs."""
     return sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')"))
+
+
+def pixels(spark: SparkSession, base: str) -> DataFrame:
+    """Every embedding as an 8×8 grey image: one row per pixel."""
+    from pyspark.sql import functions as F
+
+    from grantlens.session import table
+
+    e = table(spark, base, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v"))
+    lum = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 0.55) * 250))).cast("int")
+    return e.select("image_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), lum.alias("lum"))
+
+
+PIXELS = """select vec_id as image_id, cast((i - 1) % 8 as integer) as x, cast((i - 1) // 8 as integer) as y,
+ cast(greatest(0, least(255, floor((cast(v as double) + 0.55) * 250))) as integer) as lum from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) e"""
