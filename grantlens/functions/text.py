@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 _WORD_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
@@ -32,8 +34,13 @@ def replace(text: Column, pattern: str, by: str, ignore_case: bool = True) -> Co
     return F.regexp_replace(text, java(pattern, ignore_case), by)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind a costly expression to a name, so that `body` can use it often and it runs once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def blank_to_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def present(text: Column) -> Column:

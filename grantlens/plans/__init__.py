@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eligibility", "catalogues", "identity", "readiness", "questions", "documents", "raster", "evaluation", "streams")
+MODULES = ("eligibility", "catalogues", "identity", "readiness", "questions", "documents", "extraction", "raster", "evaluation", "streams")
 
 
 def all_jobs():
