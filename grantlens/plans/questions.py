@@ -14,7 +14,7 @@ from grantlens.plans.registry import job
 from grantlens.plans.sqltext import quoted
 from grantlens.plans.views import UTTERANCES, utterances
 from grantlens.rules import corpus as Q, utterances as U
-from grantlens.session import table
+from grantlens.session import spread, table
 from grantlens.sources.catalogue import question_corpus
 
 
@@ -34,7 +34,7 @@ def tokens_sql(x: str, minimum: int = 1, stop: bool = False) -> str:
 @job("token_counts", "Q1", sql=f"""select doc_id, len({tokens_sql('text')}) as n_tokens, len({tokens_sql('text', 3)}) as n_long_tokens, len({tokens_sql('text', 2, True)}) as n_content_tokens,
  len(list_distinct({tokens_sql('text', 2, True)})) as n_distinct_content from documents""")
 def token_counts(spark, base):
-    return O.token_counts(table(spark, base, "documents"), "doc_id")
+    return O.token_counts(spread(table(spark, base, "documents")), "doc_id")
 
 
 def income_sql(x: str) -> str:
@@ -157,7 +157,7 @@ s as (select p.doc_id, p.item_id, hits * 1.0 / (len(list_distinct(q.qt)) + len(l
  from p join q using (doc_id) join c using (item_id))
 select doc_id, item_id, round(cast(score as double), 6) as score from (select *, row_number() over (partition by doc_id order by score desc, item_id) as rn from s) where rn = 1 and score >= 0.2""")
 def texts_matched_to_items(spark, base):
-    out = O.match_texts(table(spark, base, "documents"), table(spark, base, "benchmark"), "doc_id", "item_id")
+    out = O.match_texts(spread(table(spark, base, "documents")), table(spark, base, "benchmark"), "doc_id", "item_id")
     return out.withColumn("score", F.round("score", 6))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.session import sql_over
+from grantlens.session import spread, sql_over
 
 AS_OF = "2026-06-01"
 
@@ -220,7 +220,7 @@ select o_orderkey as file_id, concat('u/', cast(o_orderkey as varchar(12)), '.',
 """
 
 def applicants(spark: SparkSession, base: str) -> DataFrame:
-    return sql_over(spark, base, APPLICANTS)
+    return spread(sql_over(spark, base, APPLICANTS))
 
 
 def case_documents(spark: SparkSession, base: str) -> DataFrame:
@@ -250,20 +250,20 @@ def cases(spark: SparkSession, base: str) -> DataFrame:
     from grantlens.operators.readiness import scheme_dimension
 
     ids = F.array(*[F.lit(r["id"]) for r in scheme_dimension()])
-    return sql_over(spark, base, CASES).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
+    return spread(sql_over(spark, base, CASES)).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
 
 
 def utterances(spark: SparkSession, base: str) -> DataFrame:
-    return sql_over(spark, base, UTTERANCES)
+    return spread(sql_over(spark, base, UTTERANCES))
 
 
 def certificates(spark: SparkSession, base: str) -> DataFrame:
-    return sql_over(spark, base, CERTIFICATES)
+    return spread(sql_over(spark, base, CERTIFICATES))
 
 
 def texts(spark: SparkSession, base: str) -> DataFrame:
     """Spark replaces all tags without the flag the comparison engine needs."""
-    return sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')"))
+    return spread(sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')")))
 
 
 def pixels(spark: SparkSession, base: str) -> DataFrame:

@@ -62,3 +62,14 @@ def durable(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for row-heavy work on a small input.
+
+    An input with fewer splits than cores is at most a few blocks, so dealing it out is
+    cheap. Anything larger already has enough splits and passes through unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
