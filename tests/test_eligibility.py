@@ -61,9 +61,10 @@ def test_invariants_on_all_pairs(spark, base):
 
 
 def test_ranking_needs_no_shuffle(spark, base):
-    from grantlens.plans.views import applicants
+    from grantlens.plans.views import APPLICANTS
+    from grantlens.session import sql_over
 
-    plan = E.rank_schemes(applicants(spark, base), top_k=3)._jdf.queryExecution().executedPlan().toString()
+    plan = E.rank_schemes(sql_over(spark, base, APPLICANTS), top_k=3)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
 
 
