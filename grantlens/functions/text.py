@@ -2,17 +2,76 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 _WORD_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_WORD_START, _WORD_END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_WORD_CLASS = r"\[[A-Za-z0-9\-]+\]"
+
+
+def _alternatives(group: str) -> list[str]:
+    parts, depth = [""], 0
+    for ch in group:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return parts
+
+
+def _inner(group: str) -> str | None:
+    """Content of a plain or non-capturing group, None for look-around."""
+    body = group[1:-1]
+    if body.startswith("?:"):
+        return body[2:]
+    return None if body.startswith("?") else body
+
+
+def _begins_with_word(rest: str) -> bool:
+    if rest.startswith("("):
+        depth = 0
+        for i, ch in enumerate(rest):
+            depth += (ch == "(") - (ch == ")")
+            if depth == 0:
+                inner = _inner(rest[:i + 1])
+                return inner is not None and rest[i + 1:i + 2] not in ("?", "*", "{") and all(map(_begins_with_word, _alternatives(inner)))
+        return False
+    return re.match(rf"(?:[A-Za-z0-9]|\\d|{_WORD_CLASS})(?![?*]|\{{0)", rest) is not None
+
+
+def _ends_with_word(head: str) -> bool:
+    if head.endswith(")") and not head.endswith("\\)"):
+        depth = 0
+        for i in range(len(head) - 1, -1, -1):
+            depth += (head[i] == ")") - (head[i] == "(")
+            if depth == 0:
+                inner = _inner(head[i:])
+                return inner is not None and all(map(_ends_with_word, _alternatives(inner)))
+        return False
+    return re.search(rf"(?:(?<!\\)[A-Za-z0-9]|\\d\+?|(?:\\d|{_WORD_CLASS})\{{[1-9]\d*(?:,\d+)?\}}|(?<!\\)[A-Za-z0-9][A-Za-z0-9]\?)$", head) is not None
+
+
+def _word_edges(pattern: str) -> str:
+    """Spell out `\\b`: one look-around where the neighbouring rule text shows which side the word is on."""
+    out, i = "", 0
+    while i < len(pattern):
+        token = pattern[i:i + 2] if pattern[i] == "\\" else pattern[i]
+        if token == r"\b":
+            out += _WORD_START if _begins_with_word(pattern[i + 2:]) else _WORD_END if _ends_with_word(pattern[:i]) else _WORD_EDGE
+        else:
+            out += token
+        i += len(token)
+    return out
 
 
 def java(pattern: str, ignore_case: bool = True, dot_all: bool = False) -> str:
     r"""A rule pattern for Spark: `\b` is an ASCII word edge whatever the JDK, as in the rule tables."""
     flags = ("i" if ignore_case else "") + ("s" if dot_all else "")
-    return (f"(?{flags})" if flags else "") + pattern.replace(r"\b", _WORD_EDGE)
+    return (f"(?{flags})" if flags else "") + _word_edges(pattern)
 
 
 def re2(pattern: str, ignore_case: bool = True, dot_all: bool = False) -> str:

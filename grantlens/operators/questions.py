@@ -22,8 +22,7 @@ def tokens(text: Column, min_length: int = 1, stop_words: bool = False) -> Colum
     raw = F.split(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_\s]", " "), r"\s+")
     if not stop_words:
         return F.filter(raw, lambda w: F.length(w) >= min_length)
-    stop = F.split(F.lit(" ".join(Q.STOP_WORDS)), " ")
-    return F.filter(raw, lambda w: (F.length(w) >= min_length) & ~F.array_contains(stop, w))
+    return F.filter(raw, lambda w: (F.length(w) >= min_length) & ~w.isin(*Q.STOP_WORDS))
 
 
 def question_tokens(text: Column) -> Column:
