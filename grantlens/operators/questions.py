@@ -185,12 +185,12 @@ def token_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     c = c.select("c_ord", F.size("c_tokens").alias("c_distinct"), "c_tokens").select("c_ord", "c_distinct", F.explode("c_tokens").alias("token"))
     sized = q.join(c, "token").groupBy("q_id", "c_ord", "q_distinct", "c_distinct").agg(F.sum("times").alias("hits"), F.count(F.lit(1)).alias("shared"))
     sized = sized.withColumn("score", F.col("hits") / (F.col("q_distinct") + F.col("c_distinct") - F.col("shared")))
-    maybe = sized.filter("shared >= c_distinct - 2 or shared >= q_distinct - 2").select("q_id", "c_ord")
+    containable = (F.col("shared") >= F.col("c_distinct") - 2) | (F.col("shared") >= F.col("q_distinct") - 2)
     low = F.lower("question")
-    contained = (
-        maybe.join(corpus.select("c_ord", "question"), "c_ord").join(queries.select("q_id", "norm"), "q_id")
-        .filter(F.col("norm").contains(low) | low.contains(F.col("norm"))).select("q_id", "c_ord", F.lit(Q.CONTAINMENT_BONUS).alias("bonus")))
-    return sized.join(contained, ["q_id", "c_ord"], "left").select("q_id", "c_ord", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
+    contained = F.col("norm").contains(low) | low.contains(F.col("norm"))
+    checked = sized.filter(containable).join(corpus.select("c_ord", "question"), "c_ord").join(queries.select("q_id", "norm"), "q_id").select(
+        "q_id", "c_ord", (F.col("score") + F.when(contained, Q.CONTAINMENT_BONUS).otherwise(0.0)).alias("score"))
+    return sized.filter(~containable).select("q_id", "c_ord", "score").unionByName(checked)
 
 
 def _row_score(norm: Column, q_tokens: Column, question: Column, c_tokens: Column) -> Column:
