@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import mixing
+from grantlens.llm import language, mixing
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_language")
+def op2(spark: SparkSession, base: str) -> DataFrame:
+    return language.languages(table(spark, base, "documents"))
+
+
 @query("op3_mixing", mixing.SQL)
 def op3(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(table(spark, base, "documents"))
