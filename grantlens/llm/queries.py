@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import language, mixing
+from grantlens.llm import language, mixing, personal
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,8 @@ def op2(spark: SparkSession, base: str) -> DataFrame:
 @query("op3_mixing", mixing.SQL)
 def op3(spark: SparkSession, base: str) -> DataFrame:
     return mixing.mix(table(spark, base, "documents"))
+
+
+@query("op9_personal_data")
+def op9(spark: SparkSession, base: str) -> DataFrame:
+    return personal.personal_data(table(spark, base, "documents"))
