@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import language, mixing, personal
+from grantlens.llm import codes, language, mixing, personal
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,8 @@ def op3(spark: SparkSession, base: str) -> DataFrame:
 @query("op9_personal_data")
 def op9(spark: SparkSession, base: str) -> DataFrame:
     return personal.personal_data(table(spark, base, "documents"))
+
+
+@query("op10_codes")
+def op10(spark: SparkSession, base: str) -> DataFrame:
+    return codes.round_trip(table(spark, base, "documents"))
