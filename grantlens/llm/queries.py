@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import codes, language, mixing, personal
+from grantlens.llm import codes, language, mixing, packing, personal
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +40,8 @@ def op9(spark: SparkSession, base: str) -> DataFrame:
 @query("op10_codes")
 def op10(spark: SparkSession, base: str) -> DataFrame:
     return codes.round_trip(table(spark, base, "documents"))
+
+
+@query("op4_packing")
+def op4(spark: SparkSession, base: str) -> DataFrame:
+    return packing.pack(table(spark, base, "documents"))
