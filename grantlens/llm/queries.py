@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import codes, language, mixing, packing, personal
+from grantlens.llm import archive, codes, language, mixing, packing, personal
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def op10(spark: SparkSession, base: str) -> DataFrame:
 @query("op4_packing")
 def op4(spark: SparkSession, base: str) -> DataFrame:
     return packing.pack(table(spark, base, "documents"))
+
+
+@query("op5_archive", archive.SQL)
+def op5(spark: SparkSession, base: str) -> DataFrame:
+    return archive.round_trip(table(spark, base, "pages"))
