@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import archive, codes, language, mixing, packing, personal
+from grantlens.llm import archive, codes, language, mixing, packing, personal, shingles
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op4(spark: SparkSession, base: str) -> DataFrame:
 @query("op5_archive", archive.SQL)
 def op5(spark: SparkSession, base: str) -> DataFrame:
     return archive.round_trip(table(spark, base, "pages"))
+
+
+@query("op1_jaccard_join", shingles.SQL)
+def op1(spark: SparkSession, base: str) -> DataFrame:
+    return shingles.joined(table(spark, base, "documents"))
