@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import archive, codes, language, mixing, packing, personal, shingles
+from grantlens.llm import archive, codes, language, mixing, neardup, packing, personal, shingles
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5(spark: SparkSession, base: str) -> DataFrame:
 @query("op1_jaccard_join", shingles.SQL)
 def op1(spark: SparkSession, base: str) -> DataFrame:
     return shingles.joined(table(spark, base, "documents"))
+
+
+@query("op8_near_copies", neardup.SQL)
+def op8(spark: SparkSession, base: str) -> DataFrame:
+    return neardup.linked_vectors(table(spark, base, "embeddings"))
