@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import archive, codes, language, mixing, neardup, packing, personal, shingles
+from grantlens.llm import archive, codes, language, mixing, neardup, neighbours, packing, personal, shingles
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op1(spark: SparkSession, base: str) -> DataFrame:
 @query("op8_near_copies", neardup.SQL)
 def op8(spark: SparkSession, base: str) -> DataFrame:
     return neardup.linked_vectors(table(spark, base, "embeddings"))
+
+
+@query("op7_neighbours")
+def op7(spark: SparkSession, base: str) -> DataFrame:
+    return neighbours.near_hundredths(table(spark, base, "embeddings"))
