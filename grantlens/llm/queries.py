@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import archive, codes, language, mixing, neardup, neighbours, packing, personal, shingles
+from grantlens.llm import archive, codes, language, mixing, neardup, neighbours, packing, personal, quotes, shingles
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op8(spark: SparkSession, base: str) -> DataFrame:
 @query("op7_neighbours")
 def op7(spark: SparkSession, base: str) -> DataFrame:
     return neighbours.near_hundredths(table(spark, base, "embeddings"))
+
+
+@query("op6_quotation_linking", quotes.SQL)
+def op6(spark: SparkSession, base: str) -> DataFrame:
+    return quotes.conversations(table(spark, base, "conversations"))
