@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantlens.llm.common import new_folder, written
+from grantlens.llm.common import new_folder, row_blocks, written
 from grantlens.llm.tokens import default_path, encoded
 
 MAGIC = b"DACIDS01"
@@ -163,8 +163,10 @@ def read_ids(manifest: DataFrame, folder: str) -> DataFrame:
                 codes = Codes(load(folder, name))
                 starts = codes.starts.astype(np.int64)
                 crcs = np.zeros(codes.docs, np.int64)
-                for i in range(codes.docs):
-                    crcs[i] = zlib.crc32(codes.ids(int(starts[i]), int(starts[i + 1])).astype("<u4"))
+                for a, b in row_blocks(np.diff(starts)):
+                    ids = codes.ids(int(starts[a]), int(starts[b])).astype("<u4")
+                    at = (starts[a:b + 1] - starts[a]).tolist()
+                    crcs[a:b] = [zlib.crc32(ids[x:y]) for x, y in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(codes.doc_ids, mask=codes.known == 0), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crcs)],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])

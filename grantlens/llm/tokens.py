@@ -1,16 +1,17 @@
 """Token ids of whole texts, in blocks, with a public tokenizer.
 
 The ids are those the tokenizers library gives for the whole text. Byte-level pre-tokenization always
-starts a new piece at a space before a character that isn't white space, so a text may be cut there,
+starts a new piece at a space or a lone line feed before a character that isn't white space, so a text may be cut there,
 and each distinct word is encoded once per cache. The cache is emptied when it is full.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 from operator import attrgetter
 
 import numpy as np
@@ -23,7 +24,10 @@ END = 0
 #: Distinct words, and characters in them, that a worker remembers.
 CACHE_WORDS, CACHE_CHARS = 500_000, 8_000_000
 
-_IDS = attrgetter("ids")
+_ID = attrgetter("id")
+_SPACE = "\u0120"
+#: How byte-level models spell the bytes that aren't printable: by the characters from 256 on, in order.
+_SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _CUT = re.compile(r" (?=\S)")
 
 
@@ -39,13 +43,19 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        import json
-
-        pre = json.loads(self.tokenizer.to_str())
-        self.cuts = (pre["pre_tokenizer"] or {}).get("type") == "ByteLevel" and pre["pre_tokenizer"]["use_regex"] and not pre["pre_tokenizer"]["add_prefix_space"] and pre["normalizer"] is None
+        spec = json.loads(self.tokenizer.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None and spec["model"]["type"] == "BPE"
+        if self.cuts:
+            # The words' cache below takes the place of the model's own.
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+            self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)
+            self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
         self._empty()
 
     def _empty(self) -> None:
@@ -79,45 +89,81 @@ class Encoder:
         self.words.update(zip(words, range(self.n, n)))
         self.n, self.used, self.chars = n, used, self.chars + sum(map(len, words))
 
+    def _letters(self, core: str, space: str) -> list[int]:
+        """Ids of letters, after a space or not: a single piece for the model, in its spelling of bytes."""
+        known = self.words.get(core) if space else None
+        if known is not None:
+            return self.flat[self.starts[known]:self.starts[known] + self.lengths[known]].tolist()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(_SPELLING)
+        return list(map(_ID, self.model.tokenize(space + core)))
+
     def _add(self, words: list[str]) -> None:
-        """Encode words; keys with a leading space are heads of texts, the others follow a space."""
-        ids = list(map(_IDS, self.tokenizer.encode_batch_fast([w[1:] if w[:1] == " " else " " + w for w in words], add_special_tokens=False)))
+        """Encode words. Keys with a leading space are heads of texts, those with a line feed begin with it, the others follow a space.
+
+        Latin letters, with or without one mark after them, go straight to the tokenizer's model, as its
+        pre-tokenizer would hand them over; all else goes through the whole tokenizer.
+        """
+        ids: list[list[int]] = []
+        rest: list[int] = []
+        forms: list[str] = []
+        for i, w in enumerate(words):
+            lead, core, space = ([], w[1:], "") if w[0] == " " else (self.feed, w[1:], "") if w[0] == "\n" else ([], w, _SPACE)
+            mark = self.marks.get(core[-1:])
+            letters = core[:-1] if mark else core
+            if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
+                ids.append(lead + self._letters(letters, space) + (mark or []))
+            else:
+                ids.append([])
+                rest.append(i)
+                forms.append(core if w[0] == " " else w if w[0] == "\n" else " " + w)
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast(forms, add_special_tokens=False)):
+            ids[i] = e.ids
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self._put(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the texts, each one followed by END."""
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if not self.cuts:
             rows = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.array([i for r in rows for i in r], np.uint32), np.cumsum([0, *map(len, rows)])
         if self.n > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
-        split, known = [t.split(" ") for t in texts], self.words
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
         for pieces in split:
             pieces[0] = " " + pieces[0]
-        missing = {w for pieces in split for w in pieces if w not in known}
-        # Pieces that are empty or begin with white space don't stand at a cut; the texts that have them are cut by the pattern.
-        if odd := {w for w in missing if not w or w[0].isspace() and w[0] != " "}:
-            for i, pieces in enumerate(split):
-                if not odd.isdisjoint(pieces[1:]):
-                    split[i] = _CUT.split(texts[i])
-                    split[i][0] = " " + split[i][0]
-            missing = {w for pieces in split for w in pieces if w not in known}
-        if missing:
-            self._add(list(missing))
-        get, end = known.__getitem__, np.uint32(END)
-        ids, sizes = [], []
-        for pieces in split:
-            at = np.fromiter(map(get, pieces), np.int64, len(pieces))
-            self.seen[at] += 1
-            n = self.lengths[at]
-            ends = np.cumsum(n)
-            own = np.empty(int(ends[-1]) + 1, np.uint32)
-            own[:-1] = self.flat[np.repeat(self.starts[at] - (ends - n), n) + np.arange(int(ends[-1]))]
-            own[-1] = end
-            ids.append(own)
-            sizes.append(len(own))
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.cumsum([0, *sizes])
+        flat = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            missing = {flat[i] for i in unknown.tolist()}
+            # Pieces that are empty or hold white space alone at their head don't stand at a cut; their texts are cut by the pattern.
+            odd = {w for w in missing if not w or w == "\n" or w[0] not in " \n" and w[0].isspace() or w[0] == "\n" and w[1].isspace()}
+            if odd:
+                for i, pieces in enumerate(split):
+                    if not odd.isdisjoint(pieces[1:]):
+                        split[i] = _CUT.split(texts[i])
+                        split[i][0] = " " + split[i][0]
+                flat = list(chain.from_iterable(split))
+                missing = {w for w in flat if w not in self.words}
+                unknown = np.arange(len(flat))
+                at = np.empty(len(flat), np.int64)
+            if missing:
+                self._add(list(missing))
+            at[unknown] = np.fromiter(map(self.words.__getitem__, map(flat.__getitem__, unknown.tolist())), np.int64, len(unknown))
+        self.seen[at] += 1
+        # One more entry per text, for its end.
+        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        starts, sizes = np.insert(self.starts[at], last, -1), np.insert(self.lengths[at], last, 1)
+        ends = np.cumsum(sizes)
+        where = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+        closing = ends[last + np.arange(len(split))] - 1
+        where[closing] = 0
+        ids = self.flat[where]
+        ids[closing] = END
+        return ids, np.concatenate([[0], closing + 1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
