@@ -46,7 +46,7 @@ def title_name(name: Column) -> Column:
         return (
             F.when(letters == "", part)
             .when(F.length(letters) == 1, F.upper(letters))
-            .otherwise(F.concat(F.upper(F.substring(letters, 1, 1)), F.lower(F.substring(letters, 2, 200))))
+            .otherwise(F.concat(F.upper(F.substring(letters, 1, 1)), F.lower(F.substr(letters, F.lit(2)))))
         )
 
     return F.array_join(F.transform(words(normalize_name(name)), one), " ")

@@ -1,9 +1,11 @@
 """Identity resolution across the documents of a case.
 
-A case has one document per slot (identity card, certificates, marksheets, passbook).
-The long document table is first reduced to those slots by a partial aggregation, so a
-case of any size travels as one row of at most six documents. The fifteen slot pairs
-are then built inside that row: there is no self-join and no group is collected.
+Checks between slots (identity card, certificates, marksheets, passbook) take the first
+document of each. The long document table is reduced to those slots by a partial
+aggregation, so a case of any size travels as one row of at most six documents, and the
+fifteen slot pairs are built inside that row. The cross-document status compares all
+documents of any type: a case is reduced to its distinct names first, and every distinct
+pair of names of the whole table is judged once.
 """
 
 from __future__ import annotations
@@ -92,12 +94,12 @@ def compare_dob(a: Column, b: Column) -> Column:
 
 
 def compare_to_reference(docs: DataFrame, key: str = "case_id") -> DataFrame:
-    """Every dated slot against the identity card, in the same slot row."""
+    """Every dated slot against the identity card, in the same slot row; grey where that has no date."""
     slots = case_slots(docs, ("dob",), key)
     ref = F.col(f"dob_{REFERENCE_SLOT}")
     rows = [F.when(F.col(f"dob_{s}").isNotNull(), F.struct(F.lit(s).alias("doc_type"), F.col(f"dob_{s}").alias("dob"),
-                                                          compare_dob(F.col(f"dob_{s}"), ref).alias("status"))) for s in DATED_SLOTS]
-    return slots.filter(ref.isNotNull()).select(key, F.explode(F.array(*rows)).alias("r")).filter("r is not null").select(key, "r.*")
+                                                          F.when(F.coalesce(F.trim(ref), F.lit("")) == "", "grey").otherwise(compare_dob(F.col(f"dob_{s}"), ref)).alias("status"))) for s in DATED_SLOTS]
+    return slots.select(key, F.explode(F.array(*rows)).alias("r")).filter("r is not null").select(key, "r.*")
 
 
 def _any(status: Column, wanted) -> Column:
@@ -108,7 +110,8 @@ def name_consistency(docs: DataFrame, key: str = "case_id") -> DataFrame:
     """A5: grey with fewer than two names, red on a mismatch, yellow on a minor difference, else green."""
     pairs = pairwise_names(docs, key)
     verdict = pairs.groupBy(key).agg(_any(F.col("status"), ["MISMATCH"]).alias("bad"), _any(F.col("status"), MINOR_STATUSES).alias("minor"))
-    names = docs.groupBy(key).agg(F.count(F.when(name_key(F.col("name")).isNotNull(), 1)).alias("n_names"))
+    named = name_key(F.col("name")).isNotNull() & F.col("doc_type").isin(*SLOTS)
+    names = docs.groupBy(key).agg(F.count_distinct(F.when(named, F.col("doc_type"))).alias("n_names"))
     colour = F.when(F.col("n_names") < 2, "grey").when(F.col("bad"), "red").when(F.col("minor"), "yellow").otherwise("green")
     return names.join(verdict, key, "left").select(key, "n_names", colour.alias("name_status"))
 
@@ -198,8 +201,19 @@ def consistency_score(cases: DataFrame, docs: DataFrame, as_of: Column, key: str
     return out.select(key, "name_status", "dob_status", "income_status", "community_status", "freshness", "points", level.alias("readiness"))
 
 
+def compare_distinct_names(docs: DataFrame, value: str, key: str = "case_id") -> DataFrame:
+    """Status of every two distinct names of a case, the one seen first on the left; equal names agree anyway."""
+    names = docs.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.min("ord").alias("seen"))
+    a = names.select(key, F.col(value).alias("a_value"), F.col("seen").alias("a_seen"))
+    b = names.select(key, F.col(value).alias("b_value"), F.col("seen").alias("b_seen"))
+    before = (F.col("a_seen") < F.col("b_seen")) | ((F.col("a_seen") == F.col("b_seen")) & (F.col("a_value") < F.col("b_value")))
+    pairs = a.join(b, key).filter(before).select(key, "a_value", "b_value")
+    judged = compare_names(pairs.select("a_value", "b_value").distinct().withColumn("is_strict", F.lit(False)))
+    return pairs.join(judged.select("a_value", "b_value", "status"), ["a_value", "b_value"])
+
+
 def cross_document_status(docs: DataFrame, key: str = "case_id") -> DataFrame:
-    """Overall, name, birth-date and parent status of every case, names compared leniently."""
+    """Overall, name, birth-date and parent status of every case, over all its documents; names compared leniently."""
     unreadable = ("null", "not_detected")
     readable = lambda c: F.when(~F.lower(F.trim(F.col(c))).isin(*unreadable) & (F.trim(F.col(c)) != ""), F.trim(F.col(c)))
     has_parent = "parent_name" in docs.columns
@@ -212,13 +226,12 @@ def cross_document_status(docs: DataFrame, key: str = "case_id") -> DataFrame:
         "parent_key": F.coalesce(name_key(F.col("parent_name")), F.when(F.col("parent_name").isNotNull(), F.lit(""))),
         "iso": D.parse_date(F.col("dob")),
     })
-    slots = case_slots(keyed, ("name_key", "parent_key"), key)
     facts = keyed.groupBy(key).agg(
         F.count(F.lit(1)).alias("n_docs"), F.count("name").alias("n_names"), F.count("dob").alias("n_dobs"),
         F.count("parent_name").alias("n_parents"), (F.min("iso") != F.max("iso")).alias("dob_differs"))
 
     def verdict(value: str, prefix: str) -> DataFrame:
-        compared = compare_names(slot_pairs(slots.select(key, *[f"{value}_{s}" for s in SLOTS]), value, key, strict_by_slot=False))
+        compared = compare_distinct_names(keyed, value, key)
         return compared.groupBy(key).agg(_any(F.col("status"), ["MISMATCH"]).alias(f"{prefix}_bad"), _any(F.col("status"), MINOR_STATUSES).alias(f"{prefix}_minor"))
 
     out = facts.join(verdict("name_key", "name"), key, "left")

@@ -60,7 +60,10 @@ def compared_sql(pairs: str) -> str:
 
 _SLOTS = quoted(I.SLOTS)
 _STRICT = quoted(I.STRICT_SLOTS)
-_DOCS = f"docs as (select *, {name_key_sql('name')} as k, list_position([{_SLOTS}], doc_type) as slot from ({CASE_DOCUMENTS}) d)"
+# The first document with a name, or with a date, of every slot.
+_DOCS = f"""alldocs as (select *, {name_key_sql('name')} as k, {name_key_sql('parent_name')} as pk, list_position([{_SLOTS}], doc_type) as slot from ({CASE_DOCUMENTS}) d),
+docs as (select * from alldocs where doc_type in ({_SLOTS}) and k is not null qualify row_number() over (partition by case_id, doc_type order by ord) = 1),
+dated as (select * from alldocs where doc_type in ({_SLOTS}) and dob is not null qualify row_number() over (partition by case_id, doc_type order by ord) = 1)"""
 
 
 def _pairs(strict: str = f"a.doc_type in ({_STRICT}) or b.doc_type in ({_STRICT})") -> str:
@@ -87,8 +90,9 @@ def dob_sql(a: str, b: str) -> str:
             f"when {iso_sql(a)} = {iso_sql(b)} then 'MATCH' else 'MISMATCH' end")
 
 
-@job("dates_against_reference", "J8", "N3", "C3", sql=f"""with docs as ({CASE_DOCUMENTS})
-select d.case_id, d.doc_type, d.dob, {dob_sql('d.dob', 'r.dob')} as status from docs d join docs r on r.case_id = d.case_id and r.doc_type = 'identity'
+@job("dates_against_reference", "J8", "N3", "C3", sql=f"""with {_DOCS}
+select d.case_id, d.doc_type, d.dob, case when coalesce(trim(r.dob), '') = '' then 'grey' else {dob_sql('d.dob', 'r.dob')} end as status
+from dated d left join dated r on r.case_id = d.case_id and r.doc_type = 'identity'
 where d.doc_type in ({quoted(I.DATED_SLOTS)})""")
 def dates_against_reference(spark, base):
     return I.compare_to_reference(case_documents(spark, base))
@@ -97,7 +101,7 @@ def dates_against_reference(spark, base):
 _ROLLUP = f"""select case_id, bool_or(status = 'MISMATCH') as bad, bool_or(status in ({quoted(I.MINOR_STATUSES)})) as minor from compared group by 1"""
 
 
-@job("name_consistency", "A5", sql=f"""with {_pairs()}, v as ({_ROLLUP}), n as (select case_id, count(k) as n_names from docs group by 1)
+@job("name_consistency", "A5", sql=f"""with {_pairs()}, v as ({_ROLLUP}), n as (select a.case_id, count(distinct d.doc_type) as n_names from (select distinct case_id from alldocs) a left join docs d using (case_id) group by 1)
 select n.case_id, n_names, case when n_names < 2 then 'grey' when bad then 'red' when minor then 'yellow' else 'green' end as name_status from n left join v using (case_id)""")
 def name_consistency(spark, base):
     return I.name_consistency(case_documents(spark, base))
@@ -180,8 +184,8 @@ def parent_income_override(spark, base):
 
 @job("consistency_score", "A6", sql=f"""with {_OVERRIDE},
 v as (select case_id, bool_or(status = 'MISMATCH') as bad, bool_or(status in ({quoted(I.MINOR_STATUSES)})) as minor from overridden group by 1),
-n as (select case_id, count(k) as n_names from docs group by 1),
-dob as (select d.case_id, bool_or(st = 'MISMATCH') as dbad, bool_or(st = 'MATCH') as dok from (select d.case_id, {dob_sql('d.dob', 'r.dob')} as st from docs d join docs r on r.case_id = d.case_id and r.doc_type = 'identity' where d.doc_type in ({quoted(I.DATED_SLOTS)})) d group by 1),
+n as (select a.case_id, count(distinct d.doc_type) as n_names from (select distinct case_id from alldocs) a left join docs d using (case_id) group by 1),
+dob as (select d.case_id, bool_or(st = 'MISMATCH') as dbad, bool_or(st = 'MATCH') as dok from (select d.case_id, {dob_sql('d.dob', 'r.dob')} as st from dated d join dated r on r.case_id = d.case_id and r.doc_type = 'identity' where d.doc_type in ({quoted(I.DATED_SLOTS)})) d group by 1),
 s as (select c.*, case when coalesce(n_names, 0) < 2 then 'grey' when bad then 'red' when minor then 'yellow' else 'green' end as name_status,
  case when dbad then 'red' when dok then 'green' else 'grey' end as dob_status from checked c left join n using (case_id) left join v using (case_id) left join dob using (case_id)),
 p as (select *, case name_status when 'green' then 30 when 'yellow' then 20 else 0 end + case dob_status when 'green' then 20 else 0 end
@@ -194,17 +198,34 @@ def consistency_score(spark, base):
     return I.consistency_score(case_facts(spark, base), case_documents(spark, base), F.lit(AS_OF).cast("date"))
 
 
-_A7_PAIRS = _pairs("false")
+def _a7(value: str, name: str) -> str:
+    """CTEs: distinct names of a case, their pairs, and the verdict per case."""
+    return f"""{name}_names as (select case_id, {value} as v, min(ord) as seen from valid where {value} is not null group by all),
+{name}_pairs as (select a.case_id, a.v as a_value, b.v as b_value, false as is_strict from {name}_names a join {name}_names b on a.case_id = b.case_id and (a.seen < b.seen or a.seen = b.seen and a.v < b.v)),
+{name}_apart as (select distinct a_value, b_value, is_strict from {name}_pairs),
+{name}_judged as (select a_value, b_value, status from {compared_sql(f'{name}_apart')} c),
+{name}_v as (select case_id, bool_or(status = 'MISMATCH') as bad, bool_or(status in ({quoted(I.MINOR_STATUSES)})) as minor from {name}_pairs join {name}_judged using (a_value, b_value) group by 1)"""
 
 
-@job("cross_document_status", "A7", sql=f"""with {_A7_PAIRS}, v as ({_ROLLUP}),
-f as (select case_id, count(*) as n_docs, count(name) as n_names, count(dob) as n_dobs, count(distinct {iso_sql('dob')}) > 1 as dbad from docs where name is not null or dob is not null group by 1),
-j as (select f.*, coalesce(v.bad, false) or dbad as bad, coalesce(v.minor, false) as minor, n_docs >= 2 and n_names >= 2 as enough from f left join v using (case_id))
-select case_id, n_docs as document_count, case when not enough then 'INSUFFICIENT DATA' when bad then 'SIGNIFICANT CONFLICT' when minor then 'MINOR DIFFERENCE' else 'CONSISTENT' end as status,
- case when not enough then 'INSUFFICIENT DATA' when bad then 'SIGNIFICANT CONFLICT' when minor then 'MINOR DIFFERENCE' else 'CONSISTENT' end as name_status,
- case when enough and dbad then 'SIGNIFICANT CONFLICT' when enough and n_dobs >= 2 then 'CONSISTENT' else 'INSUFFICIENT DATA' end as dob_status from j""")
+def _label(bad: str, minor: str, enough: str) -> str:
+    return f"case when not ({enough}) then 'INSUFFICIENT DATA' when {bad} then 'SIGNIFICANT CONFLICT' when {minor} then 'MINOR DIFFERENCE' else 'CONSISTENT' end"
+
+
+_READABLE = "case when lower(trim({x})) not in ('null', 'not_detected', '') then trim({x}) end"
+
+
+@job("cross_document_status", "A7", sql=f"""with base as (select case_id, ord, dob, {_READABLE.format(x='name')} as name, {_READABLE.format(x='parent_name')} as parent_name from ({CASE_DOCUMENTS}) d),
+valid as (select *, case when name is not null then coalesce({name_key_sql('name')}, '') end as nk, case when parent_name is not null then coalesce({name_key_sql('parent_name')}, '') end as pk
+ from base where name is not null or trim(dob) <> ''),
+{_a7('nk', 'n')}, {_a7('pk', 'p')},
+f as (select case_id, count(*) as n_docs, count(name) as n_names, count(dob) as n_dobs, count(parent_name) as n_parents, count(distinct {iso_sql('dob')}) > 1 as dbad from valid group by 1),
+j as (select f.*, coalesce(n.bad, false) or dbad or coalesce(p.bad, false) as bad, coalesce(n.minor, false) or coalesce(p.minor, false) as minor, coalesce(p.bad, false) as pbad,
+ coalesce(p.minor, false) as pminor, n_docs >= 2 and n_names >= 2 as enough from f left join n_v n using (case_id) left join p_v p using (case_id))
+select case_id, n_docs as document_count, {_label('bad', 'minor', 'enough')} as status, {_label('bad', 'minor', 'enough')} as name_status,
+ case when enough and dbad then 'SIGNIFICANT CONFLICT' when enough and n_dobs >= 2 then 'CONSISTENT' else 'INSUFFICIENT DATA' end as dob_status,
+ case when enough and pbad then 'SIGNIFICANT CONFLICT' when enough and pminor then 'MINOR DIFFERENCE' when enough and n_parents >= 2 then 'CONSISTENT' else 'INSUFFICIENT DATA' end as parent_status from j""")
 def cross_document_status(spark, base):
-    return I.cross_document_status(case_documents(spark, base)).drop("parent_status")
+    return I.cross_document_status(case_documents(spark, base))
 
 
 _KEYED = f"""m as (select case_id, ord, trim(name) as raw, translate(trim(name), '0158', 'OISB') as cleaned, regexp_matches(trim(name), '\\d') as digits from ({CASE_DOCUMENTS}) d where name is not null),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.session import spread, sql_over
+from grantlens.session import sql_over
 
 AS_OF = "2026-06-01"
 
@@ -31,14 +31,15 @@ from customer
 
 CASE_DOCUMENTS = """
 select distinct case_id, ord,
- case ord when 1 then 'identity' when 2 then 'community' when 3 then 'income' when 4 then 'ms10' when 5 then 'ms12' else 'bank' end as doc_type,
+ case ord when 1 then 'identity' when 2 then 'community' when 3 then 'income' when 4 then 'ms10' when 5 then 'ms12' when 6 then 'bank' else case case_id % 3 when 0 then 'income' when 1 then 'bonafide' else 'disability' end end as doc_type,
  case v when 0 then concat(base, ' ', ini) when 1 then concat(ini, '. ', base) when 2 then base when 3 then concat('Thiru. ', base, ' ', ini) when 4 then concat(replace(base, 'A', 'E'), ' ', ini) when 5 then concat(base, ' ', ini, ' EXTRA') when 6 then concat(lower(base), ' ', lower(ini)) else null end as name,
+ case v when 1 then concat('MURUGAN ', ini) when 2 then concat('Murugan. ', ini) when 4 then concat('SELVAM ', ini) when 6 then 'null' else null end as parent_name,
  case v when 5 then concat(yy, '-', mm, '-', dd) when 6 then concat(dd, '/', mm, '/', yy) when 7 then '31-02-2005' else concat(dd, '-', mm, '-', yy) end as dob
 from (select l_orderkey as case_id, l_linenumber as ord, (l_orderkey * 7 + l_linenumber * 3) % 8 as v,
   case o_custkey % 6 when 0 then 'ARUN KUMAR' when 1 then 'PRIYADHARSHINI' when 2 then 'KARTHIKEYAN' when 3 then 'SENTHIL KUMAR' when 4 then 'BALASUBRAMANIAM' else 'DIVYA' end as base,
   case o_custkey % 4 when 0 then 'K' when 1 then 'S' when 2 then 'M' else 'R' end as ini,
   lpad(cast(1 + o_custkey % 28 as varchar(2)), 2, '0') as dd, lpad(cast(1 + o_custkey % 12 as varchar(2)), 2, '0') as mm, cast(2003 + o_custkey % 6 as varchar(4)) as yy
- from lineitem join orders on l_orderkey = o_orderkey where l_linenumber <= 6) b
+ from lineitem join orders on l_orderkey = o_orderkey) b
 """
 
 
@@ -60,9 +61,9 @@ from customer
 
 # Uploads: the document types of a case, plus one row with an empty type now and then.
 UPLOADS = """
-select l_orderkey as case_id, case l_linenumber when 1 then 'aadhaar_card' when 2 then 'community_certificate' when 3 then 'income'
- when 4 then 'tenth_marksheet' when 5 then 'bank_passbook' when 6 then 'bonafide' else '' end as upload_type
-from lineitem where (l_orderkey + l_linenumber) % 3 <> 0
+select l_orderkey as case_id, case when (l_orderkey + l_linenumber) % 3 = 0 then 'photo' else case l_linenumber when 1 then 'aadhaar_card' when 2 then 'community_certificate' when 3 then 'income'
+ when 4 then 'tenth_marksheet' when 5 then 'bank_passbook' when 6 then 'bonafide' else '' end end as upload_type
+from lineitem
 """
 
 
@@ -220,7 +221,7 @@ select o_orderkey as file_id, concat('u/', cast(o_orderkey as varchar(12)), '.',
 """
 
 def applicants(spark: SparkSession, base: str) -> DataFrame:
-    return spread(sql_over(spark, base, APPLICANTS))
+    return sql_over(spark, base, APPLICANTS)
 
 
 def case_documents(spark: SparkSession, base: str) -> DataFrame:
@@ -250,20 +251,20 @@ def cases(spark: SparkSession, base: str) -> DataFrame:
     from grantlens.operators.readiness import scheme_dimension
 
     ids = F.array(*[F.lit(r["id"]) for r in scheme_dimension()])
-    return spread(sql_over(spark, base, CASES)).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
+    return sql_over(spark, base, CASES).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
 
 
 def utterances(spark: SparkSession, base: str) -> DataFrame:
-    return spread(sql_over(spark, base, UTTERANCES))
+    return sql_over(spark, base, UTTERANCES)
 
 
 def certificates(spark: SparkSession, base: str) -> DataFrame:
-    return spread(sql_over(spark, base, CERTIFICATES))
+    return sql_over(spark, base, CERTIFICATES)
 
 
 def texts(spark: SparkSession, base: str) -> DataFrame:
     """Spark replaces all tags without the flag the comparison engine needs."""
-    return spread(sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')")))
+    return sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')"))
 
 
 def pixels(spark: SparkSession, base: str) -> DataFrame:

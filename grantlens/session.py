@@ -42,8 +42,9 @@ def sql_over(spark: SparkSession, base: str, text: str) -> DataFrame:
     """
     import re
 
-    used = {t for t in TABLES if re.search(rf"\b{t}\b", text)}
-    bound = re.sub(r"\b(from|join)\s+(" + "|".join(TABLES) + r")\b", r"\1 {\2}", text, flags=re.I)
+    reference = re.compile(r"\b(from|join)\s+(" + "|".join(TABLES) + r")\b", re.I)
+    used = {m[2].lower() for m in reference.finditer(text)}
+    bound = reference.sub(r"\1 {\2}", text)
     return spark.sql(bound, **{t: table(spark, base, t) for t in used})
 
 
@@ -51,25 +52,16 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of an intermediate result that several branches read.
 
     The rows go to the shared checkpoint folder the cluster names, so they survive lost
-    executors. Only where no folder is named (tests, local runs) one is made.
+    executors. Only a session whose executors live in the driver's own process may go without one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if named is None:
             import tempfile
 
             named = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(named)
     return df.checkpoint(eager=True)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-heavy work on a small input.
-
-    An input with fewer splits than cores is at most a few blocks, so dealing it out is
-    cheap. Anything larger already has enough splits and passes through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
