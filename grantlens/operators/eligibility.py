@@ -29,8 +29,6 @@ SCHEME_TYPES = {
 # Outcome codes: their sum over the criteria tells failures (hundreds) from gaps (units).
 PASSED, MISSING, FAILED = 0, 1, 100
 OUTCOME_NAMES = {MISSING: "NEEDS_INFO", FAILED: "FAILED", PASSED: "PASSED"}
-# Larger catalogues are evaluated in slices whose results are unioned and ranked by window.
-MAX_CATALOGUE_ROWS = 2_000
 FLAG_FIELDS = {"disability": "disabled", "govt_school": "govt_school", "agri_labor": "agri_labor",
                "armed_forces": "armed_forces", "first_graduate": "first_graduate"}
 
@@ -38,8 +36,6 @@ FLAG_FIELDS = {"disability": "disabled", "govt_school": "govt_school", "agri_lab
 def prepare_schemes(rows: list[dict] | None = None) -> list[dict]:
     """Catalogue rows with one flag per criterion telling whether the scheme tests it."""
     rows = catalogue_a() if rows is None else rows
-    if len(rows) > MAX_CATALOGUE_ROWS:
-        raise ValueError(f"{len(rows)} schemes exceed {MAX_CATALOGUE_ROWS}: evaluate slices of the catalogue and union them")
     out = []
     for row in rows:
         tests = {c: row.get(c) not in (None, "", "All") for c in ("gender", "district", "course")}

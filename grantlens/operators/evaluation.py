@@ -53,10 +53,15 @@ def field_metrics(long: DataFrame, lenient: bool = False) -> DataFrame:
 
 
 def word_edits(a: Column, b: Column) -> Column:
-    """Edit distance over words: every distinct word of the pair becomes one character."""
+    """Edit distance over words: every distinct word of the pair becomes one character, surrogates being stepped over."""
     vocabulary = F.array_distinct(F.concat(a, b))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(
-        F.unhex(F.lpad(F.hex(F.array_position(vocabulary, w) + F.lit(19968)), 4, "0")), "UTF-16BE")), "")
+
+    def character(word: Column) -> Column:
+        point = F.array_position(vocabulary, word) + F.lit(19968)
+        point = point + F.when(point >= 0xD800, 0x800).otherwise(0)
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    coded = lambda ws: F.array_join(F.transform(ws, character), "")
     return F.levenshtein(coded(a), coded(b))
 
 

@@ -78,7 +78,8 @@ def prepare_cases(cases: DataFrame, as_of: Column, legacy_documents: bool = Fals
     dim = scheme_frame(cases.sparkSession)
     scheme = dim.select(F.col("id").alias("scheme_id"), F.struct(*SCHEME_TYPES).alias("scheme"),
                         *[c for c in DIMENSION_TYPES if c not in SCHEME_TYPES])
-    joined = cases.join(scheme, "scheme_id")
+    # A case of an unknown scheme stays: what depends on the scheme is unknown.
+    joined = cases.join(scheme, "scheme_id", "left").withColumn("required_labels", F.coalesce("required_labels", F.array().cast("array<string>")))
     p = profile_fields(cases)
     s = lambda name: F.col("scheme").getField(name)
     compared = ("student_name", "aadhaar_name", "tenth_name", "twelfth_name", "bank_holder", "bonafide_name")
