@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters that are not ASCII white space.
@@ -42,13 +42,22 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write the rows as a table in the shared folder and read them again."""
+def written(df: DataFrame, label: str, *seen) -> DataFrame:
+    """Cut the lineage: write the rows as a table in the shared folder and read them again. `seen` are arguments of observe()."""
     path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.observe(*seen) if seen else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a key table that may be sent to all executors: a few tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def sendable(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it is small enough; a larger one is joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def words(text) -> F.Column:
     """Number of words of a text; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -117,11 +126,12 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = written(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), label)
-        state = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if tuple(state) == before:
+        seen = Observation()
+        edges = written(small.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), label, seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("sum"))
+        state = (seen.get["n"], seen.get["sum"])
+        if state == before:
             break
-        before = tuple(state)
+        before = state
     star = edges.groupBy("a").agg(F.min("b").alias("b"))
     return star.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
