@@ -8,7 +8,7 @@ blocks. A task returns link counts per vector and a spanning forest of its links
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +22,11 @@ COSINE = 0.93
 #: Vectors a cell has on average, over all labels, and the most cells there are.
 CELL_ROWS, MOST_CELLS = 2000, 512
 #: Vectors in a block; a task holds two blocks and their product.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
 #: A guest may be this many usual deviations beyond a border. The difference of a linked pair has length
 #: up to sqrt(2 - 2 COSINE) and, in a direction that it doesn't know, a deviation of that over the root of the
 #: dimension. float('inf') makes vectors guests wherever a partner can be at all.
-REACH = 5.0
+REACH = 2.5
 
 
 def cells(x: np.ndarray, centres: np.ndarray, cosine: float = COSINE, reach: float = REACH) -> tuple[np.ndarray, np.ndarray]:
@@ -51,23 +51,24 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def judge(x: np.ndarray, home: np.ndarray, hosts: list, cell: int, second: np.ndarray, block: tuple[int, int], cosine: float = COSINE) -> np.ndarray:
+def judge(x: np.ndarray, home: np.ndarray, hosts: Callable[[int], list[int]], cell: int, second: np.ndarray, block: tuple[int, int], cosine: float = COSINE) -> np.ndarray:
     """The links of a task as a symmetric boolean matrix.
 
-    `second` marks rows of the second block; pairs of one block belong to the task (b, b). A pair that two
-    cells see is counted in the lower one.
+    Rows at home are compared with all rows. `second` marks rows of the second block; pairs of one block
+    belong to the task (b, b). A pair that two cells see is counted in the lower one.
     """
-    linked = x @ x.T >= cosine
-    np.fill_diagonal(linked, False)
-    here = home == cell
-    linked &= here[:, None] | here[None, :]
+    here = np.flatnonzero(home == cell)
+    near = x[here] @ x.T >= cosine
+    near[np.arange(len(here)), here] = False
     if block[0] != block[1]:
-        linked &= second[:, None] != second[None, :]
-    if not here.all():
-        for i, j in np.argwhere(linked & here[:, None] & ~here[None, :]).tolist():
-            if home[j] < cell and home[j] in hosts[i]:
-                linked[i, j] = linked[j, i] = False
-    return linked
+        near &= second[here][:, None] != second[None, :]
+    guest = home != cell
+    for i, j in np.argwhere(near & (guest & (home < cell))[None, :]).tolist():
+        if home[j] in hosts(int(here[i])):
+            near[i, j] = False
+    linked = np.zeros((len(x), len(x)), bool)
+    linked[here] = near
+    return linked | linked.T
 
 
 def linked_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -149,17 +150,19 @@ def _one_dimension(rows: DataFrame, n: int, cosine: float) -> DataFrame:
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             first = group.slice(0, 1).to_pylist()[0]
             block = (first["one"], first["two"])
-            hosts = [frozenset(h) for h in group.column("hosts").to_pylist()]
-            linked = judge(x, group.column("home").to_numpy(), hosts, first["cell"], group.column("block").to_numpy() == block[1], block, cosine)
-            counts = (linked * group.column("times").to_numpy()[None, :]).sum(1)
-            tree = forest(linked)
-            has, joins = np.flatnonzero(counts), np.flatnonzero(tree != np.arange(len(tree)))
+            hosts = group.column("hosts")
+            linked = judge(x, group.column("home").to_numpy(), lambda i: hosts[i].as_py(), first["cell"], group.column("block").to_numpy() == block[1], block, cosine)
+            has = np.flatnonzero(linked.any(1))
             if not len(has):
                 continue
-            vec, d1 = group.column("vec").to_numpy(), group.column("d1").to_numpy()
+            # From here on only the rows that have links.
+            linked = linked[np.ix_(has, has)]
+            vec, d1, times = (group.column(c).to_numpy()[has] for c in ("vec", "d1", "times"))
+            counts, tree = linked @ times, forest(linked)
+            joins = np.flatnonzero(tree != np.arange(len(tree)))
             none = [None] * len(joins)
             yield pa.RecordBatch.from_arrays([
-                pa.array([first["text_label"]] * len(has) + none, pa.string()), pa.array([*d1[has].tolist(), *none], pa.int64()), pa.array([*counts[has].tolist(), *none], pa.int64()),
+                pa.array([first["text_label"]] * len(has) + none, pa.string()), pa.array([*d1.tolist(), *none], pa.int64()), pa.array([*counts.tolist(), *none], pa.int64()),
                 pa.array([None] * len(has) + vec[joins].tolist(), pa.int64()), pa.array([None] * len(has) + vec[tree[joins]].tolist(), pa.int64()),
             ], ["label", "d1", "n", "a", "b"])
 
