@@ -249,9 +249,8 @@ def match_questions(queries: DataFrame, corpus: DataFrame, key: str, text: str =
         F.when(F.col("exact_id").isNotNull(), "exact").otherwise("phrase").alias("tier"))
     open_queries = staged.filter("q_tokens is not null").select(F.col("norm").alias("q_id"), "norm", "q_tokens")
     free, guarded = known.filter(F.col("id") < Q.GUARDED_FROM_ID), known.filter(F.col("id") >= Q.GUARDED_FROM_ID)
-    scored = token_overlap(open_queries, free)
     if "course" in corpus.columns:
-        scored = scored.unionByName(guarded_overlap(open_queries, guarded))
+        scored = token_overlap(open_queries, free).unionByName(guarded_overlap(open_queries, guarded))
     else:
         scored = token_overlap(open_queries, known)
     overlapped = best_match(scored).select(F.col("q_id").alias("norm"), F.col("c_ord").cast("bigint").alias("matched_id"), "score", F.lit("overlap").alias("tier"))
