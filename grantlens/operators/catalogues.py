@@ -153,28 +153,35 @@ def rule_status_counts(picked: DataFrame) -> DataFrame:
         F.sum("n").alias("picks"), F.array_join(F.sort_array(F.collect_set("scheme_id")), ",").alias("scheme_ids"))
 
 
-def document_satisfies(label: Column, upload: Column, legacy: bool = False) -> Column:
-    """Whether an uploaded document type covers a required label.
+def _group_mask(groups: list[list[Column]]) -> Column:
+    """One bit per group of tests, set if any of them holds."""
+    mask = F.lit(0).cast("bigint")
+    for bit, tests in enumerate(groups):
+        some = tests[0]
+        for test in tests[1:]:
+            some = some | test
+        mask = mask + F.when(some, 1 << bit).otherwise(0)
+    return mask
 
-    By default an empty type covers nothing and the short words SC and ST count only as
-    whole words; `legacy` keeps plain substring tests for both.
-    """
-    text, kind = F.lower(F.coalesce(label, F.lit(""))), F.lower(F.coalesce(upload, F.lit("")))
 
-    def names(word: str) -> Column:
-        if word in SHORT_WORDS and not legacy:
-            return text.rlike(rf"(?<![a-z0-9]){word}(?![a-z0-9])")
-        return text.contains(word)
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def label_mask(text: Column, legacy: bool = False) -> Column:
+    """The word groups that a lower-case label names. By default the short words SC and ST count only as whole words."""
+    names = lambda w: text.rlike(rf"(?<![a-z0-9]){w}(?![a-z0-9])") if w in SHORT_WORDS and not legacy else text.contains(w)
+    return _group_mask([[names(w) for w in words] for words, _ in DOCUMENT_WORDS])
+
+
+def upload_mask(kind: Column) -> Column:
+    """The word groups that a lower-case document type covers."""
+    return _group_mask([[kind.contains(w) for w in words] for _, words in DOCUMENT_WORDS])
 
-    def any_of(tests: list[Column]) -> Column:
-        out = tests[0]
-        for test in tests[1:]:
-            out = out | test
-        return out
 
-    found = text.contains(kind) | kind.contains(text)
-    for label_words, upload_words in DOCUMENT_WORDS:
-        found = found | (any_of([names(w) for w in label_words]) & any_of([kind.contains(w) for w in upload_words]))
+def satisfies(text: Column, text_mask: Column, kind: Column, kind_mask: Column, legacy: bool = False) -> Column:
+    """Whether a document type covers a label, both in lower case with their masks. By default an empty type covers nothing."""
+    found = text.contains(kind) | kind.contains(text) | (text_mask.bitwiseAND(kind_mask) != 0)
     return found if legacy else found & (kind != "") & (text != "")
 
 
@@ -182,9 +189,12 @@ def missing_documents(required: DataFrame, uploaded: DataFrame, key: str = "case
     """Required labels no upload of the same case covers.
 
     Uploads shrink to the distinct types of a case before the shuffle, so a case with very
-    many files still probes a handful of rows.
+    many files still probes a handful of rows. Words are looked up once per label and once
+    per type; a pair only compares two bit masks and two texts.
     """
-    types = uploaded.select(F.col(key).alias("u_key"), "upload_type").distinct()
-    return required.join(types, (F.col(key) == F.col("u_key")) & document_satisfies(F.col("label"), F.col("upload_type"), legacy), "left_anti")
+    types = uploaded.select(F.col(key).alias("u_key"), lowered(F.col("upload_type")).alias("u_kind")).distinct().withColumn("u_mask", upload_mask(F.col("u_kind")))
+    labels = required.withColumn("l_text", lowered(F.col("label"))).withColumn("l_mask", label_mask(F.col("l_text"), legacy))
+    covered = satisfies(F.col("l_text"), F.col("l_mask"), F.col("u_kind"), F.col("u_mask"), legacy)
+    return labels.join(types, (F.col(key) == F.col("u_key")) & covered, "left_anti").drop("l_text", "l_mask")
 
 

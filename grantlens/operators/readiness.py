@@ -14,8 +14,8 @@ from grantlens.functions import dates as D
 from grantlens.functions.banding import PROFILE_BANDS, band, js_round
 from grantlens.functions.categories import to_category
 from grantlens.functions.names import letters_key, name_similarity, similarity
-from grantlens.functions.text import blank_to_null
-from grantlens.operators.catalogues import document_satisfies
+from grantlens.functions.text import blank_to_null, let
+from grantlens.operators.catalogues import label_mask, lowered, satisfies, upload_mask
 from grantlens.operators.eligibility import SCHEME_TYPES, rank_of, tally_of, prepare_schemes, profile_fields
 from grantlens.operators.identity import certificate_expiry
 from grantlens.rules import risks as R
@@ -76,20 +76,25 @@ def valid_ifsc(code: Column) -> Column:
 def prepare_cases(cases: DataFrame, as_of: Column, legacy_documents: bool = False) -> DataFrame:
     """Case rows joined to their scheme, with everything the rules test."""
     dim = scheme_frame(cases.sparkSession)
-    scheme = dim.select(F.col("id").alias("scheme_id"), F.struct(*SCHEME_TYPES).alias("scheme"),
+    needs = F.transform("required_labels", lambda label: let(lowered(label), lambda t: F.struct(label.alias("label"), t.alias("text"), label_mask(t, legacy_documents).alias("mask"))))
+    scheme = dim.select(F.col("id").alias("scheme_id"), F.struct(*SCHEME_TYPES).alias("scheme"), needs.alias("required"),
                         *[c for c in DIMENSION_TYPES if c not in SCHEME_TYPES])
     # A case of an unknown scheme stays: what depends on the scheme is unknown.
-    joined = cases.join(scheme, "scheme_id", "left").withColumn("required_labels", F.coalesce("required_labels", F.array().cast("array<string>")))
+    none = F.array().cast("array<struct<label:string,text:string,mask:bigint>>")
+    joined = cases.join(scheme, "scheme_id", "left").withColumn("required", F.coalesce("required", none))
     p = profile_fields(cases)
     s = lambda name: F.col("scheme").getField(name)
     compared = ("student_name", "aadhaar_name", "tenth_name", "twelfth_name", "bank_holder", "bonafide_name")
     joined = joined.withColumns({f"k_{c}": letters_key(F.col(c)) for c in compared})
     differs = lambda c: F.when(F.col(c).isNotNull() & (similarity(F.col("k_student_name"), F.col(f"k_{c}")) < 0.75), 1).otherwise(0)
     mismatches = sum((differs(c) for c in compared[1:]), F.lit(0))
-    uploads = _listed("uploads")
-    missing = F.filter("required_labels", lambda label: ~F.exists(uploads, lambda u: document_satisfies(label, u, legacy_documents)))
+    kinds = F.transform(_listed("uploads"), lambda u: let(lowered(u), lambda k: F.struct(k.alias("kind"), upload_mask(k).alias("mask"))))
+    joined = joined.withColumn("upload_kinds", kinds)
+    uploads = F.col("upload_kinds")
+    covers = lambda need: F.exists(uploads, lambda u: satisfies(need["text"], need["mask"], u["kind"], u["mask"], legacy_documents))
+    missing = F.transform(F.filter("required", lambda need: ~covers(need)), lambda need: need["label"])
     joined = joined.withColumns({
-        "tally": tally_of(p, s), "missing_labels": missing, "n_required": F.size("required_labels"), "n_uploads": F.size(uploads),
+        "tally": tally_of(p, s), "missing_labels": missing, "n_required": F.size("required"), "n_uploads": F.size(uploads),
         "n_wrong": F.size(_listed("wrong_types")), "n_low_quality": F.size(_listed("low_quality")),
         "n_name_mismatch": F.when(F.col("student_name").isNull(), 0).otherwise(mismatches),
         "sim_income": similarity(F.col("k_student_name"), letters_key(F.col("income_name"))),
