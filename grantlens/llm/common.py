@@ -17,7 +17,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_BYTES = 1 << 20
 
 
+#: Rows in a batch between Spark and Python. Texts may be long, and workers hold some batches at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers by smaller batches than Spark's usual ten thousand rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
