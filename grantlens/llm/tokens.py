@@ -16,6 +16,7 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from grantlens.llm.common import row_blocks, utf8
 
@@ -23,6 +24,8 @@ from grantlens.llm.common import row_blocks, utf8
 END = 0
 #: Distinct words, and characters in them, that a worker remembers.
 CACHE_WORDS, CACHE_CHARS = 500_000, 8_000_000
+#: Bytes of text that are encoded together.
+ENCODE_BYTES = 4 << 20
 
 _ID = attrgetter("id")
 _SPACE = "\u0120"
@@ -122,44 +125,64 @@ class Encoder:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         self._put(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the texts, each one followed by END."""
-        if not texts:
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """Places of keys in the cache, where they are put if they aren't there."""
+        at = np.fromiter(map(self.words.get, keys, repeat(-1)), np.int64, len(keys))
+        unknown = np.flatnonzero(at < 0).tolist()
+        if unknown:
+            missing = list(dict.fromkeys(map(keys.__getitem__, unknown)))
+            self._add(missing)
+            at[unknown] = np.fromiter(map(self.words.__getitem__, map(keys.__getitem__, unknown)), np.int64, len(unknown))
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of the texts, each one followed by END; null is empty."""
+        n = len(texts)
+        if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
         if not self.cuts:
-            rows = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            rows = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
             return np.array([i for r in rows for i in r], np.uint32), np.cumsum([0, *map(len, rows)])
         if self.n > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        for pieces in split:
-            pieces[0] = " " + pieces[0]
-        flat = list(chain.from_iterable(split))
-        at = np.fromiter(map(self.words.get, flat, repeat(-1)), np.int64, len(flat))
-        unknown = np.flatnonzero(at < 0)
-        if len(unknown):
-            missing = {flat[i] for i in unknown.tolist()}
-            # Pieces that are empty or hold white space alone at their head don't stand at a cut; their texts are cut by the pattern.
-            odd = {w for w in missing if not w or w == "\n" or w[0] not in " \n" and w[0].isspace() or w[0] == "\n" and w[1].isspace()}
-            if odd:
-                for i, pieces in enumerate(split):
-                    if not odd.isdisjoint(pieces[1:]):
-                        split[i] = _CUT.split(texts[i])
-                        split[i][0] = " " + split[i][0]
-                flat = list(chain.from_iterable(split))
-                missing = {w for w in flat if w not in self.words}
-                unknown = np.arange(len(flat))
-                at = np.empty(len(flat), np.int64)
-            if missing:
-                self._add(list(missing))
-            at[unknown] = np.fromiter(map(self.words.__getitem__, map(flat.__getitem__, unknown.tolist())), np.int64, len(unknown))
+        texts = texts.fill_null("")
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        first = np.asarray(split.offsets)
+        coded = split.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
+        first = first - first[0]
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        heads = first[:-1]
+        inner = np.ones(len(which), bool)
+        inner[heads] = False
+        used = np.flatnonzero(np.bincount(which[inner], minlength=len(pieces)))
+        # Pieces that are empty or hold white space alone at their head don't stand at a cut; their texts are cut by the pattern.
+        odd = [i for i in used.tolist() if not (w := pieces[i]) or w[0].isspace() and (w[0] != "\n" or w == "\n" or w[1].isspace())]
+        others: dict[int, list[str]] = {}
+        if odd:
+            used = np.setdiff1d(used, odd)
+            spots = np.flatnonzero(np.isin(which, odd) & inner)
+            for row in np.unique(np.searchsorted(first, spots, side="right") - 1).tolist():
+                cut = _CUT.split(texts[row].as_py())
+                others[row] = [" " + cut[0], *cut[1:]]
+        keys = [pieces[i] for i in used.tolist()] + [" " + pieces[i] for i in which[heads].tolist()] + list(chain.from_iterable(others.values()))
+        places = self._places(keys)
+        table = np.zeros(len(pieces), np.int64)
+        table[used] = places[:len(used)]
+        at = table[which]
+        at[heads] = places[len(used):len(used) + n]
+        last = first[1:]
+        if others:
+            parts, k = np.split(at, first[1:-1]), len(used) + n
+            for row, cut in others.items():
+                parts[row] = places[k:k + len(cut)]
+                k += len(cut)
+            at, last = np.concatenate(parts), np.cumsum([len(p) for p in parts])
         self.seen[at] += 1
         # One more entry per text, for its end.
-        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         starts, sizes = np.insert(self.starts[at], last, -1), np.insert(self.lengths[at], last, 1)
         ends = np.cumsum(sizes)
         where = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
-        closing = ends[last + np.arange(len(split))] - 1
+        closing = ends[last + np.arange(n)] - 1
         where[closing] = 0
         ids = self.flat[where]
         ids[closing] = END
@@ -179,5 +202,5 @@ def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, int, np.ndarray,
     """(from, to, ids, offsets) for blocks of rows; null is empty."""
     _, at = utf8(column)
     own = encoder(path)
-    for a, b in row_blocks(np.diff(at.astype(np.int64))):
-        yield a, b, *own.encode([t or "" for t in column.slice(a, b - a).to_pylist()])
+    for a, b in row_blocks(np.diff(at.astype(np.int64)), ENCODE_BYTES):
+        yield a, b, *own.encode(column.slice(a, b - a))
