@@ -1,14 +1,16 @@
 """Near copies among embeddings: spherical k-means cells, and cosine products in blocks within a cell.
 
 Only vectors of one label are compared. Equal vectors are one, with a count, so a group of copies costs
-what one vector does. A vector is at home in its nearest cell and a guest in those whose border is near;
-a pair is judged in a cell where one of them is at home. Cells are cut into blocks and tasks take pairs of
-blocks. A task returns link counts per vector and a spanning forest of its links, never the pairs.
+what one vector does. A vector is at home in its nearest cell and has partners at most in cells whose border
+is within the length of a linked pair's difference, which is a bound that always holds. Of two cells that may
+have links between them, one takes the vectors of the other as guests. Homes and guests of a cell are cut into
+blocks, and tasks take pairs of blocks, so every pair that can link is judged once. A task returns link counts
+per vector and a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +21,13 @@ from grantlens.llm.common import components, groups, written
 from grantlens.llm.vectors import kmeans, matrix, sample, valid
 
 COSINE = 0.93
-#: Vectors a cell has on average, over all labels, and the most cells there are.
+#: Vectors a cell has on average in a label, and the most cells there are.
 CELL_ROWS, MOST_CELLS = 2000, 512
 #: Vectors in a block; a task holds two blocks and their product.
 BLOCK_ROWS = 2048
-#: A guest may be this many usual deviations beyond a border. The difference of a linked pair has length
-#: up to sqrt(2 - 2 COSINE) and, in a direction that it doesn't know, a deviation of that over the root of the
-#: dimension. float('inf') makes vectors guests wherever a partner can be at all.
-REACH = 2.5
+#: A guest may be this many usual deviations beyond a border, for a difference in a random direction. Only
+#: float('inf') is a bound for all vectors: differences may lie along the centres.
+REACH = float("inf")
 
 
 def cells(x: np.ndarray, centres: np.ndarray, cosine: float = COSINE, reach: float = REACH) -> tuple[np.ndarray, np.ndarray]:
@@ -51,23 +52,15 @@ def forest(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def judge(x: np.ndarray, home: np.ndarray, hosts: Callable[[int], list[int]], cell: int, second: np.ndarray, block: tuple[int, int], cosine: float = COSINE) -> np.ndarray:
-    """The links of a task as a symmetric boolean matrix.
-
-    Rows at home are compared with all rows. `second` marks rows of the second block; pairs of one block
-    belong to the task (b, b). A pair that two cells see is counted in the lower one.
-    """
-    here = np.flatnonzero(home == cell)
-    near = x[here] @ x.T >= cosine
-    near[np.arange(len(here)), here] = False
-    if block[0] != block[1]:
-        near &= second[here][:, None] != second[None, :]
-    guest = home != cell
-    for i, j in np.argwhere(near & (guest & (home < cell))[None, :]).tolist():
-        if home[j] in hosts(int(here[i])):
-            near[i, j] = False
+def judge(x: np.ndarray, second: np.ndarray, same: bool, cosine: float = COSINE) -> np.ndarray:
+    """The links of a task as a symmetric boolean matrix: between the rows of its two blocks, or within the one it has."""
     linked = np.zeros((len(x), len(x)), bool)
-    linked[here] = near
+    if same:
+        linked[:] = x @ x.T >= cosine
+        np.fill_diagonal(linked, False)
+        return linked | linked.T
+    here, there = np.flatnonzero(~second), np.flatnonzero(second)
+    linked[np.ix_(here, there)] = x[here] @ x[there].T >= cosine
     return linked | linked.T
 
 
@@ -102,43 +95,65 @@ def _links(distinct: DataFrame, cosine: float) -> DataFrame:
     """Rows (label, d1, n): links of a vector found in a task; and rows (a, b): edges that connect what its links connect."""
     label_type = distinct.schema["label"].dataType.simpleString()
     distinct = distinct.withColumn("text_label", F.col("label").cast("string"))
-    sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    dims = sorted(r["dim"] for r in distinct.select("dim").distinct().collect())
     out = None
-    for dim, n in sorted(sizes.items()):
-        part = _one_dimension(distinct.filter(F.col("dim") == dim), n, cosine)
+    for dim in dims:
+        part = _one_dimension(distinct.filter(F.col("dim") == dim), cosine)
         out = part if out is None else out.union(part)
     if out is None:
         out = distinct.sparkSession.createDataFrame([], _FOUND)
     return written(out.withColumn("label", F.col("label").cast(label_type)), "near-links")
 
 
-def _fit(rows: DataFrame, k: int) -> np.ndarray:
-    """Centres from a bounded sample, fitted in a task."""
+def _fit(rows: DataFrame, counts: list[int]) -> dict[int, np.ndarray]:
+    """Centres for each number of cells, from a bounded sample, fitted in a task."""
 
     def fit(batches):
         x = np.concatenate([matrix(b.column(0)) for b in batches])
-        centres = kmeans(x / np.linalg.norm(x, axis=1, keepdims=True), k, spherical=True)
-        yield pa.RecordBatch.from_arrays([pa.array(list(centres))], ["centre"])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for k in counts:
+            centres = kmeans(x, k, spherical=True)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(centres), pa.int64()), pa.array(list(centres))], ["k", "centre"])
+
+    if not counts:
+        return {}
+    got = sample(rows, "vec").select("embedding").coalesce(1).mapInArrow(fit, "k long, centre array<double>").collect()
+    return {k: np.array([r["centre"] for r in got if r["k"] == k]) for k in counts}
 
-    got = sample(rows, "vec").select("embedding").coalesce(1).mapInArrow(fit, "centre array<double>").collect()
-    return np.array([r["centre"] for r in got])
 
+def hosts_of(home: np.ndarray, hosts: np.ndarray) -> np.ndarray:
+    """`hosts` without the cells that send their vectors to the home cell instead: of two cells the lower one hosts if their sum is even, else the higher one."""
+    cell = np.arange(hosts.shape[1])[None, :]
+    own = home[:, None]
+    return hosts & ((cell == own) | ((cell < own) == ((cell + own) % 2 == 0)))
 
-def _one_dimension(rows: DataFrame, n: int, cosine: float) -> DataFrame:
-    centres = _fit(rows, max(1, min(MOST_CELLS, n // CELL_ROWS)))
+
+def _one_dimension(rows: DataFrame, cosine: float) -> DataFrame:
+    # Labels have cells by their size, in powers of two, so that few sets of centres do for all of them.
+    fits = F.greatest(F.lit(1), F.least(F.lit(MOST_CELLS), F.floor(F.count("*") / CELL_ROWS)))
+    cut = written(rows.groupBy("text_label").agg(F.pow(F.lit(2), F.floor(F.log2(fits))).cast("long").alias("k")), "near-labels")
+    centres = _fit(rows, sorted(r["k"] for r in cut.filter("k > 1").select("k").distinct().collect()))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column(batch.schema.get_field_index("embedding")))
-            home, hosts = cells(x / np.linalg.norm(x, axis=1, keepdims=True), centres, cosine)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array([np.flatnonzero(h) for h in hosts], pa.list_(pa.int64()))], [*batch.schema.names, "home", "hosts"])
-
-    placed = rows.select("text_label", "d1", "vec", "times", "embedding").mapInArrow(assign, "text_label string, d1 long, vec long, times long, embedding array<float>, home long, hosts array<long>")
-    placed = written(placed, "near-cells").withColumn("cell", F.explode("hosts"))
-    blocks = placed.groupBy("text_label", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"), F.max((F.col("home") == F.col("cell")).cast("int")).alias("lived")).filter("lived = 1")
-    placed = placed.join(blocks, ["text_label", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec", "d1"), F.col("blocks")))
-    # A block meets itself and every other one once: the lower of the two is the first.
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            ks = batch.column(batch.schema.get_field_index("k")).to_numpy()
+            home, visits = np.zeros(len(x), np.int64), [np.zeros(1, np.int64)] * len(x)
+            for k in set(ks.tolist()) & set(centres):
+                at = np.flatnonzero(ks == k)
+                home[at], hosts = cells(x[at], centres[k], cosine, REACH)
+                for i, h in zip(at.tolist(), hosts_of(home[at], hosts)):
+                    visits[i] = np.flatnonzero(h)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(home), pa.array(visits, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "home", "hosts"])
+
+    placed = rows.join(cut, "text_label").select("text_label", "d1", "vec", "times", "embedding", "k").mapInArrow(assign, "text_label string, d1 long, vec long, times long, embedding array<float>, home long, hosts array<long>")
+    placed = written(placed, "near-cells").withColumn("cell", F.explode("hosts")).drop("hosts").withColumn("lives", F.col("home") == F.col("cell"))
+    blocks = placed.groupBy("text_label", "cell").agg(F.ceil(F.count_if("lives") / BLOCK_ROWS).alias("homes"), F.ceil(F.count_if(~F.col("lives")) / BLOCK_ROWS).alias("guests")).filter("homes > 0")
+    placed = placed.join(blocks, ["text_label", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec", "d1"), F.when(F.col("lives"), F.col("homes")).otherwise(F.col("guests"))))
+    # A block of homes meets itself, every other one and every block of guests once; those have numbers below 0.
+    placed = placed.withColumn("block", F.when(F.col("lives"), F.col("block")).otherwise(-1 - F.col("block")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("lives"), -F.col("guests")).otherwise(F.lit(0).cast("long")), F.col("homes") - 1)))
     placed = placed.withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     keys = ["text_label", "cell", "one", "two"]
 
@@ -149,9 +164,7 @@ def _one_dimension(rows: DataFrame, n: int, cosine: float) -> DataFrame:
             x = matrix(group.column("embedding"))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             first = group.slice(0, 1).to_pylist()[0]
-            block = (first["one"], first["two"])
-            hosts = group.column("hosts")
-            linked = judge(x, group.column("home").to_numpy(), lambda i: hosts[i].as_py(), first["cell"], group.column("block").to_numpy() == block[1], block, cosine)
+            linked = judge(x, group.column("block").to_numpy() == first["two"], first["one"] == first["two"], cosine)
             has = np.flatnonzero(linked.any(1))
             if not len(has):
                 continue
@@ -166,7 +179,7 @@ def _one_dimension(rows: DataFrame, n: int, cosine: float) -> DataFrame:
                 pa.array([None] * len(has) + vec[joins].tolist(), pa.int64()), pa.array([None] * len(has) + vec[tree[joins]].tolist(), pa.int64()),
             ], ["label", "d1", "n", "a", "b"])
 
-    cols = [*keys, "block", "d1", "vec", "times", "embedding", "home", "hosts"]
+    cols = [*keys, "block", "d1", "vec", "times", "embedding"]
     return placed.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "vec").mapInArrow(run, _FOUND)
 
 

@@ -59,3 +59,21 @@ def test_neighbours_recall_order_and_edges(spark, monkeypatch):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (100, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id) for r in A.near_hundredths(few).orderBy("query_id", "rank").collect()] == [(0, 1, 1), (0, 2, 100), (0, 3, 2), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
     assert A.near_hundredths(few.limit(0)).count() == 0
+
+
+def test_near_copies_along_the_leading_axes(spark, monkeypatch):
+    monkeypatch.setattr(N, "CELL_ROWS", 100)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 300)
+    rng = np.random.default_rng(6)
+    spread = np.arange(1, 129) ** -0.75
+    x = rng.normal(size=(2400, 128)) * spread
+    x[1200:] = x[:1200] + rng.normal(size=(1200, 128)) * spread * 0.36
+    x = x.astype(np.float32)
+    labels = (np.arange(2400) % 1200 % 4 == 0).astype(int)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :])
+    np.fill_diagonal(links, False)
+    tree = N.forest(links)
+    rows = spark.createDataFrame([(i, v.tolist(), int(labels[i])) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in N.linked_vectors(rows).collect()}
+    assert links.sum() > 500 and got == {i: (int(links[i].sum()), int(tree[i])) for i in range(len(x))}
