@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import archive, codes, language, mixing, neardup, neighbours, packing, personal, quotes, shingles
+from grantlens.llm import archive, codes, contentsort, language, merkle, mixing, neardup, neighbours, packing, personal, quotes, shingles
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,13 @@ def op7(spark: SparkSession, base: str) -> DataFrame:
 @query("op6_quotation_linking", quotes.SQL)
 def op6(spark: SparkSession, base: str) -> DataFrame:
     return quotes.conversations(table(spark, base, "conversations"))
+
+
+@query("op12_content_sort", contentsort.SQL)
+def op12(spark: SparkSession, base: str) -> DataFrame:
+    return contentsort.copies(table(spark, base, "documents"))
+
+
+@query("op13_manifest", merkle.SQL)
+def op13(spark: SparkSession, base: str) -> DataFrame:
+    return merkle.verified(table(spark, base, "documents"))
