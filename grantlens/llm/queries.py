@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grantlens.llm import archive, codes, contentsort, language, merkle, mixing, neardup, neighbours, packing, personal, quotes, shingles
+from grantlens.llm import archive, codes, contentsort, language, lexical, merkle, mixing, neardup, neighbours, packing, personal, quotes, shingles
 from grantlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op12(spark: SparkSession, base: str) -> DataFrame:
 @query("op13_manifest", merkle.SQL)
 def op13(spark: SparkSession, base: str) -> DataFrame:
     return merkle.verified(table(spark, base, "documents"))
+
+
+@query("op11_best_positions", lexical.SQL)
+def op11(spark: SparkSession, base: str) -> DataFrame:
+    return lexical.search(table(spark, base, "documents"), table(spark, base, "benchmark"))
