@@ -2,7 +2,8 @@
 
 The ids are those the tokenizers library gives for the whole text. Byte-level pre-tokenization always
 starts a new piece at a space or a lone line feed before a character that isn't white space, so a text may be cut there,
-and each distinct word is encoded once per cache. The cache is emptied when it is full.
+and each distinct word is encoded once per cache. The cache is emptied when it is full. A text that holds
+one of the tokenizer's added tokens is encoded whole.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ class Encoder:
         from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         self.cuts = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None and spec["model"]["type"] == "BPE"
         if self.cuts:
@@ -140,12 +141,26 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        if not self.cuts:
-            rows = [[*e.ids, END] for e in self.tokenizer.encode_batch_fast([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
-            return np.array([i for r in rows for i in r], np.uint32), np.cumsum([0, *map(len, rows)])
+        texts = texts.fill_null("")
+        whole = np.ones(n, bool) if not self.cuts else np.zeros(n, bool)
+        for token in self.added if self.cuts else ():
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._by_words(texts)
+        which = np.flatnonzero(whole)
+        rows = [np.array([*e.ids, END], np.uint32) for e in self.tokenizer.encode_batch_fast(texts.take(pa.array(which)).to_pylist(), add_special_tokens=False)]
+        if len(which) < n:
+            ids, at = self._by_words(texts.filter(pa.array(~whole)))
+            rows += np.split(ids, at[1:-1])
+        order = np.argsort(np.concatenate([which, np.flatnonzero(~whole)]))
+        rows = [rows[i] for i in order.tolist()]
+        return np.concatenate(rows), np.cumsum([0, *map(len, rows)])
+
+    def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() for texts without nulls and added tokens, of which there is at least one."""
+        n = len(texts)
         if self.n > CACHE_WORDS or self.chars > CACHE_CHARS:
             self._forget()
-        texts = texts.fill_null("")
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         first = np.asarray(split.offsets)
         coded = split.values.slice(first[0], first[-1] - first[0]).dictionary_encode()

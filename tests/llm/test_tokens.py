@@ -16,7 +16,6 @@ PATH = T.default_path()
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
@@ -32,6 +31,14 @@ def test_ids_are_those_of_the_whole_text(plain, monkeypatch):
             assert ids[at[i]:at[i + 1]].tolist() == plain(t), repr(t)
 
 
+def test_added_tokens_in_texts(plain):
+    own = T.Encoder(PATH)
+    assert own.added and 50256 in plain("a" + own.added[0] + "b")
+    for texts in (["a<|endoftext|>b"], ["x y", "a <|endoftext|> b", None, "<|endoftext|>", "z  z"], ["<|endoftext|><|endoftext|>\nq", "<|endoftext|"], [None, ""]):
+        ids, at = own.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
+
+
 def test_codes_round_trip_and_random_access():
     rng = np.random.default_rng(1)
     for n in (0, 1, 511, 512, 513, 5000):
@@ -47,7 +54,7 @@ def test_codes_round_trip_and_random_access():
         C.Codes(bytes(broken))
 
 
-ROWS = [(5, "some words here"), (1, None), (3, ""), (2, "x" * 30_000 + " word" * 3000), (3, "again"), (None, "no id"), (9, "a  b\n\n\nc"), (10, "a " * 700)]
+ROWS = [(5, "some words here"), (1, None), (3, ""), (2, "x" * 30_000 + " word" * 3000), (3, "again"), (None, "no id"), (9, "a  b\n\n\nc"), (10, "a " * 700), (4, "one<|endoftext|>two <|endoftext|>")]
 
 
 def test_codes_of_a_table(spark, plain, monkeypatch):
