@@ -3,7 +3,9 @@
 An Aho-Corasick automaton finds cues (at-signs, plus signs, digits, schemes, words that announce an
 account). Around a cue the longest run of characters that its kind may hold is the window; a local
 parser then finds the exact borders in the window and validates them. A match of a kind can't leave
-its window, so parsing windows from left to right finds what a search of the whole text would.
+its window, so parsing windows from left to right finds what a search of the whole text would. The time
+grows with the text's length whatever it holds: an address has one at-sign, so its local part is the run of
+characters before that, and the host is matched once from there; numbers are tried at the start of their digits only.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ KINDS = (*BASE_KINDS, "login", "account")
 
 # The base patterns, and the digits that a card or a phone number has.
 _PATTERN = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+# Of an address, the characters before its at-sign and what follows that.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _CARD_DIGITS, _PHONE_DIGITS = (16, 19), (8, 15)
 
 # The characters a window of each kind holds, to the left and to the right of its cue.
 _WINDOW = {
-    "email": (re.compile(r"[A-Za-z0-9._%+@-]*"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+@-"),
     "ip": (re.compile(r"[0-9.]*"), "0123456789."),
     "card": (re.compile(r"[\x200-9-]*"), "0123456789 -"),
     "phone": (re.compile(r"[\x20().0-9+-]*"), "0123456789 ().+-"),
@@ -83,7 +86,6 @@ def _digits(text: str) -> str:
 
 
 _VALID = {
-    "email": lambda m: True,
     "ip": lambda m: all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m.split(".")),
     "card": lambda m: _CARD_DIGITS[0] <= len(d := _digits(m)) <= _CARD_DIGITS[1] and luhn(d),
     "phone": lambda m: _PHONE_DIGITS[0] <= len(_digits(m)) <= _PHONE_DIGITS[1],
@@ -118,6 +120,15 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if _VALID[kind](m[0]):
                 found[kind].append((kind, m.start(), m.end()))
 
+    def address(at: int) -> None:
+        """The longest local part before an at-sign, behind the last address and the last at-sign, and the host after it."""
+        a = at
+        while a > done["email"] and text[a - 1] in _LOCAL:
+            a -= 1
+        if a < at and (m := _HOST.match(text, at + 1)):
+            found["email"].append(("email", a, m.end()))
+            done["email"] = m.end()
+
     for last, (cue, length) in _CUES.iter(text):
         if cue == "digit":
             if last >= done["ip"]:
@@ -125,7 +136,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if last >= done["card"]:
                 parse("card", last)
         elif cue == "at":
-            parse("email", last)
+            address(last)
         elif cue == "plus":
             parse("phone", last)
         elif cue == "scheme":
@@ -166,7 +177,9 @@ _FOUND = "struct<n_email long, n_ip long, n_card long, n_phone long, base_sha256
 def with_personal_data(docs: DataFrame, text: str = "text", clean: bool = False) -> DataFrame:
     """`docs` with a struct `personal`: counts of the base kinds, digest of their spans, all spans and, if asked for, the redacted text.
 
-    Null text counts as empty and stays null; whole texts are searched, whatever their length.
+    Null text counts as empty and stays null; whole texts are searched, whatever their length. Rows are
+    judged one by one: repeated rows and equal texts have equal results, an empty table has no rows, and of other
+    columns only one named `personal` is replaced.
     """
 
     @F.pandas_udf(_FOUND)
@@ -183,12 +196,15 @@ def with_personal_data(docs: DataFrame, text: str = "text", clean: bool = False)
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document; edge cases as in with_personal_data()."""
     return with_personal_data(docs.select("doc_id", "text")).select("doc_id", *[f"personal.{c}" for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")])
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """The documents with personal data replaced by its kind, and n_chars as the new text has it. Other columns stay as they are."""
+    """The documents with personal data replaced by its kind, and n_chars as the new text has it.
+
+    Other columns stay as they are, whatever their names; null text and null n_chars stay null.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     found = with_personal_data(docs.select(row, "text"), clean=True).select("row", F.col("personal.clean").alias("clean"))
     changed = {"text": F.col("clean"), "n_chars": F.when(F.col("row.n_chars").isNotNull(), F.char_length(F.coalesce("clean", F.lit(""))).cast("long"))}

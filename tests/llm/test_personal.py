@@ -65,3 +65,18 @@ def test_query_columns_nulls_and_clashing_names(spark):
     clean = P.redacted_documents(full)
     assert clean.columns == full.columns
     assert {(r.doc_id, r.text, r.n_chars, r.personal) for r in clean.collect() if r.doc_id in (1, None)} == {(1, None, None, "x"), (None, "[EMAIL]", 7, None)}
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "a@", "a@b.", "+1 ", "1 ", "@", "+", "1.1.1.", "://a:", "a.-", "account"])
+def test_very_long_runs_take_time_in_proportion(unit):
+    import time
+
+    spent = []
+    for n in (40_000, 160_000):
+        text = unit * (n // len(unit)) + "@."
+        start = time.perf_counter()
+        found = [s for s in P.find(text) if s[0] in P.BASE_KINDS]
+        spent.append(time.perf_counter() - start)
+        if n == 40_000 and unit in ("a@", "1.1.1.", "1 "):
+            assert found == brute(text)
+    assert spent[1] < 8 * spent[0] + 0.2, spent
