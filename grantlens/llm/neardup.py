@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grantlens.llm.common import components, groups, written
-from grantlens.llm.vectors import kmeans, matrix, sample, valid
+from grantlens.llm.vectors import component_type, kmeans, matrix, sample, valid
 
 COSINE = 0.93
 #: Vectors a cell has on average in a label, and the most cells there are.
@@ -72,7 +72,7 @@ def linked_vectors(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
     one member of a component, and count as vectors of their own in n_links. A null vec_id takes no part,
     has a null component and isn't kept. An empty table gives no rows.
     """
-    base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
+    base = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast(component_type(rows)).alias("embedding"))
     base = base.withColumn("usable", valid() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     base = base.withColumns({"d1": F.when(F.col("usable"), F.xxhash64("embedding", F.lit(1))), "d2": F.when(F.col("usable"), F.xxhash64("embedding", F.lit(2)))})
     key = ["label", "d1", "d2"]
@@ -147,7 +147,7 @@ def _one_dimension(rows: DataFrame, cosine: float) -> DataFrame:
                     visits[i] = np.flatnonzero(h)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(home), pa.array(visits, pa.list_(pa.int64()))], [*batch.schema.names[:-1], "home", "hosts"])
 
-    placed = rows.join(cut, "text_label").select("text_label", "d1", "vec", "times", "embedding", "k").mapInArrow(assign, "text_label string, d1 long, vec long, times long, embedding array<float>, home long, hosts array<long>")
+    placed = rows.join(cut, "text_label").select("text_label", "d1", "vec", "times", "embedding", "k").mapInArrow(assign, f"text_label string, d1 long, vec long, times long, embedding {component_type(rows)}, home long, hosts array<long>")
     placed = written(placed, "near-cells").withColumn("cell", F.explode("hosts")).drop("hosts").withColumn("lives", F.col("home") == F.col("cell"))
     blocks = placed.groupBy("text_label", "cell").agg(F.ceil(F.count_if("lives") / BLOCK_ROWS).alias("homes"), F.ceil(F.count_if(~F.col("lives")) / BLOCK_ROWS).alias("guests")).filter("homes > 0")
     placed = placed.join(blocks, ["text_label", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec", "d1"), F.when(F.col("lives"), F.col("homes")).otherwise(F.col("guests"))))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantlens.llm.common import written
-from grantlens.llm.vectors import kmeans, matrix, nearest, sample, valid
+from grantlens.llm.vectors import component_type, kmeans, matrix, nearest, sample, valid
 
 NEIGHBOURS = 10
 BRANCHES = 8
@@ -167,25 +167,33 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall: flo
     """query_id, rank, vec_id, score: the k nearest rows found for each query, nearest first, ties to the smaller id.
 
     Both frames have vec_id and embedding. Vectors that are null, empty, zero or hold null or non-finite
-    components, rows without an id, and vectors of another length than most have no part. A row with the
-    query's own id isn't its neighbour. Where there are fewer other rows than k, all are returned. Empty
-    tables give no rows; a repeated query row is one query.
+    components, and rows without an id, have no part. Vectors of different lengths have no distance: each length
+    has a tree of its own. A row with the query's own id isn't its neighbour. Where there are fewer other rows
+    than k, all are returned. Empty tables give no rows; a repeated query row is one query. Other columns have no part.
     """
-    cols = [F.col("vec_id").cast("long").alias("vec_id"), "embedding"]
+    cols = [F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(component_type(rows)).alias("embedding")]
     rows = rows.select(*cols).filter(valid() & F.col("vec_id").isNotNull())
-    queries = queries.select(*cols).filter(valid() & F.col("vec_id").isNotNull())
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    if sizes is None:
+    queries = queries.select(*cols).filter(valid() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id"])
+    sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}
+    found = None
+    for dim in sorted(sizes):
+        part = _one_length(*(x.filter(F.size("embedding") == dim) for x in (rows, queries)), sizes[dim], k, recall)
+        found = part if found is None else found.union(part)
+    if found is None:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows, queries = (x.filter(F.size("embedding") == sizes["dim"]) for x in (rows, queries))
-    queries = queries.dropDuplicates(["vec_id"])
-    tree = fitted(rows, max(1, min(MOST_LEAVES, sizes["n"] // LEAF_ROWS)))
+    return found
+
+
+def _one_length(rows: DataFrame, queries: DataFrame, n: int, k: int, recall: float) -> DataFrame:
+    """search() among n rows of one length."""
+    kind = component_type(rows)
+    tree = fitted(rows, max(1, min(MOST_LEAVES, n // LEAF_ROWS)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tree.leaves_of(matrix(_names(batch, "embedding"))))], [*batch.schema.names, "leaf"])
 
-    placed = written(rows.mapInArrow(place, "vec_id long, embedding array<float>, leaf long"), "ann-index")
+    placed = written(rows.mapInArrow(place, f"vec_id long, embedding {kind}, leaf long"), "ann-index")
     held = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     wanted = calibrated_visits(placed, queries, tree, k, recall)
 
@@ -205,7 +213,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS, recall: flo
             batch = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([_names(batch, "vec_id"), _names(batch, "embedding"), pa.array(leaves, pa.int64())], ["vec_id", "embedding", "leaf"])
 
-    visits = written(queries.mapInArrow(visit, "vec_id long, embedding array<float>, leaf long"), "ann-visits")
+    visits = written(queries.mapInArrow(visit, f"vec_id long, embedding {kind}, leaf long"), "ann-visits")
     chunks = placed.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("chunks"))
     parts = visits.groupBy("leaf").agg(F.ceil(F.count("*") / PART_QUERIES).alias("parts"))
     plan = chunks.join(parts, "leaf")

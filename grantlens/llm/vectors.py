@@ -18,6 +18,12 @@ def valid(column: str = "embedding") -> F.Column:
     return F.coalesce((F.size(column) > 0) & whole & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
+def component_type(rows: DataFrame, column: str = "embedding") -> str:
+    """The SQL type of an array column of floats or doubles, as it comes; other numbers are read as doubles."""
+    kind = rows.schema[column].dataType.simpleString()
+    return kind if kind in ("array<float>", "array<double>") else "array<double>"
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A list column of equal lengths as rows of doubles."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

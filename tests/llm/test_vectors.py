@@ -77,3 +77,24 @@ def test_near_copies_along_the_leading_axes(spark, monkeypatch):
     rows = spark.createDataFrame([(i, v.tolist(), int(labels[i])) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in N.linked_vectors(rows).collect()}
     assert links.sum() > 500 and got == {i: (int(links[i].sum()), int(tree[i])) for i in range(len(x))}
+
+
+def test_doubles_and_other_lengths(spark):
+    """Doubles that floats can't tell apart, and queries of every length."""
+    eps = 1e-12
+    rows = [(i, [1.0 + i * eps, 2.0, 3.0], 1) for i in range(9)] + [(100, [1.0, 0.0], 1), (101, [1.0, 0.5], 1), (102, [4.0, 0.0], 2), (200, [5.0], 1), (300, [1.0 + 2.4 * eps, 2.0, 3.0], None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {}
+    for r in A.near_hundredths(frame).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {0, 100, 300}
+    for q, found in got.items():
+        own = dict((i, np.array(v)) for i, v, _ in rows)
+        same = sorted((float(np.sqrt(((own[i] - own[q]) ** 2).sum())), i) for i in own if i != q and len(own[i]) == len(own[q]))[:10]
+        assert found == [(i, d) for d, i in same]
+    assert [i for i, _ in got[300]][:2] == [2, 3]
+    links = {r.vec_id: (r.n_links, r.component_id) for r in N.linked_vectors(frame).collect()}
+    assert links[8] == (8, 0) and links[100] == (0, 100) and links[102] == (0, 102) and links[200] == (0, 200) and links[300] == (0, 300)
+    whole = spark.createDataFrame([(0, [1, 2]), (1, [2, 2]), (100, [1, 1])], "vec_id long, embedding array<int>").selectExpr("*", "1 label")
+    assert [(r.query_id, r.vec_id) for r in A.near_hundredths(whole).orderBy("query_id", "rank").collect()] == [(0, 1), (0, 100), (100, 0), (100, 1)]
+    assert N.linked_vectors(whole).count() == 3
