@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from grantlens.session import durable
+
 # The service's own settings; every job takes them as parameters.
 WINDOW_SECONDS, MAX_HITS = 15 * 60, 40
 SESSION_SECONDS, MAX_USES = 15 * 60, 10
@@ -22,50 +24,76 @@ def _micros(ts):
     return seconds * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
 
 
-def burst_ids(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Number the bursts of each key: a gap of a whole window always starts a new window.
+def _slots(events: DataFrame, width: int) -> DataFrame:
+    """One row per (k, slot) with events: first and last time, and whether the first one is a start because a whole window before it is empty.
 
-    Gaps are found inside (key, time slot) and against the slot before, so one very busy
-    key is spread over its slots; only slot totals are accumulated per key.
+    `starts_1` and `starts_2`, `lo_2` say the same of the next two slots: null where they are empty. Slots are as wide as a
+    window, so events less than a window apart are in the same slot or in neighbouring ones.
     """
-    width = seconds * 1_000_000
-    e = events.withColumn("_t", _micros(ts)).withColumn("_slot", F.floor(F.col("_t") / width))
-    last = e.groupBy(key, "_slot").agg(F.max("_t").alias("_last")).select(F.col(key), (F.col("_slot") + 1).alias("_slot"), "_last")
-    in_slot = Window.partitionBy(key, "_slot").orderBy("_t", "event_id")
-    e = e.withColumn("_before", F.lag("_t").over(in_slot)).join(last, [key, "_slot"], "left")
-    since = F.col("_t") - F.coalesce("_before", "_last")
-    e = e.withColumn("_starts", (F.coalesce(since, F.lit(width)) >= width).cast("int")).drop("_before", "_last")
-    per_slot = e.groupBy(key, "_slot").agg(F.sum("_starts").alias("_n"))
-    earlier = Window.partitionBy(key).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slot.select(key, "_slot", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    running = F.sum("_starts").over(in_slot.rowsBetween(Window.unboundedPreceding, 0))
-    return e.withColumn("_run", running).join(offsets, [key, "_slot"]).withColumn("burst", F.col("_offset") + F.col("_run")).drop("_slot", "_starts", "_run", "_offset")
+    slots = events.groupBy("k", "slot").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    by_time = Window.partitionBy("k").orderBy("slot")
+    near = F.lag("slot").over(by_time) == F.col("slot") - 1
+    slots = slots.withColumn("starts", ~F.coalesce(near & (F.col("lo") - F.lag("hi").over(by_time) < width), F.lit(False)))
+
+    def ahead(column: str, n: int) -> Column:
+        """A column of the slot n further, which is among the next n rows if it isn't empty."""
+        return F.coalesce(*[F.when(F.lead("slot", i).over(by_time) == F.col("slot") + n, F.lead(column, i).over(by_time)) for i in range(1, n + 1)])
+
+    return slots.select("k", "slot", "lo", "starts", ahead("starts", 1).alias("starts_1"), ahead("starts", 2).alias("starts_2"), ahead("lo", 2).alias("lo_2"))
+
+
+def next_starts(times: DataFrame, slots: DataFrame, width: int) -> DataFrame:
+    """(k, t, to): where the next window of the key would start if one started at t; no row where an empty window comes before that.
+
+    A range lookup: the wanted time lies in the next slot, where it is sorted among the events. Where none
+    follows it there, the first event of the slot after that is the next one.
+    """
+    asked = times.select("k", (F.col("slot") + 1).alias("slot"), (F.col("t") + width).alias("x"), F.col("t").alias("t"))
+    held = times.select("k", "slot", F.col("t").alias("x"), F.lit(None).cast("long").alias("t"))
+    ahead = Window.partitionBy("k", "slot").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = asked.unionByName(held).withColumn("hit", F.min(F.when(F.col("t").isNull(), F.col("x"))).over(ahead)).filter("t is not null").dropDuplicates(["k", "slot", "t"])
+    joined = found.select("k", (F.col("slot") - 1).alias("slot"), "t", "hit").join(slots, ["k", "slot"])
+    later = F.when(~F.coalesce("starts_2", F.lit(True)), F.col("lo_2"))
+    return joined.select("k", "t", F.when(F.coalesce("starts_1", F.lit(True)), None).otherwise(F.coalesce("hit", later)).alias("to")).filter("to is not null")
+
+
+def window_starts(events: DataFrame, width: int) -> DataFrame:
+    """(k, s): the starts of all windows of every key, from rows (k, slot, t). At most one start lies in a slot.
+
+    Starts follow each other by next_starts(). Those after an empty window are known; the others are found by
+    pointer doubling: the i-th table points 2 ** i windows ahead, and following the tables from the widest to the first
+    reaches every start. Tables grow in number with the logarithm of the most windows without a gap,
+    and a key of any length is dealt by (k, t).
+    """
+    slots = durable(_slots(events, width))
+    tables = [durable(next_starts(events.select("k", "slot", "t"), slots, width))]
+    while not tables[-1].isEmpty():
+        last = tables[-1]
+        onward = last.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("to").alias("further"))
+        tables.append(durable(last.join(onward, (F.col("to") == F.col("t2")) & (F.col("k") == F.col("k2"))).select("k", "t", F.col("further").alias("to"))))
+    starts = slots.filter("starts").select("k", F.col("lo").alias("s"))
+    for jumps in reversed(tables[:-1]):
+        starts = starts.join(jumps.withColumnRenamed("t", "s"), ["k", "s"], "left").select("k", F.explode(F.array_compact(F.array("s", "to"))).alias("s"))
+    return starts
 
 
 def rate_limit(events: DataFrame, key: str = "user_id", ts: str = "ts", seconds: int = WINDOW_SECONDS, limit: int = MAX_HITS) -> DataFrame:
     """Windows anchored at a key's first event; events beyond `limit` in one are blocked.
 
-    Rows arrive sorted by burst and time and are folded as a stream of batches: memory stays
-    constant however long a burst is.
+    Event and window are in one slot or in neighbouring ones, so each event meets its slot's row alone, and hits are
+    ranks within a window: a key that never pauses is spread over its slots. Rows without key or time have no
+    window and are left out.
     """
     width = seconds * 1_000_000
-    numbered = burst_ids(events.select("event_id", key, ts), key, ts, seconds).select("event_id", key, "burst", "_t")
-    ordered = numbered.repartition(key, "burst").sortWithinPartitions(key, "burst", "_t", "event_id")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start, count = None, 0, 0
-        for batch in batches:
-            starts, counts = [], []
-            for k, b, t in zip(batch[key].to_numpy(), batch["burst"].to_numpy(), batch["_t"].to_numpy()):
-                if (k, b) != current or t >= start + width:
-                    current, start, count = (k, b), t, 0
-                count += 1
-                starts.append(start)
-                counts.append(count)
-            yield pd.DataFrame({"event_id": batch["event_id"], key: batch[key], "window_start": starts, "hits": counts})
-
-    schema = f"event_id bigint, {key} {dict(events.dtypes)[key]}, window_start bigint, hits int"
-    return ordered.mapInPandas(fold, schema).withColumn("is_blocked", F.col("hits") > limit)
+    timed = events.select("event_id", F.col(key).alias("k"), _micros(ts).alias("t")).filter("k is not null and t is not null")
+    timed = timed.withColumn("slot", F.floor(F.col("t") / width))
+    at, none = F.floor(F.col("s") / width), F.lit(None).cast("long")
+    both = window_starts(timed, width).select("k", F.inline(F.array(
+        F.struct(at.alias("slot"), F.col("s").alias("own"), none.alias("earlier")), F.struct((at + 1).alias("slot"), none.alias("own"), F.col("s").alias("earlier")))))
+    of_slot = both.groupBy("k", "slot").agg(F.max("own").alias("own"), F.max("earlier").alias("earlier"))
+    placed = timed.join(of_slot, ["k", "slot"]).withColumn("window_start", F.when(F.col("t") >= F.col("own"), F.col("own")).otherwise(F.col("earlier")))
+    hits = F.row_number().over(Window.partitionBy("k", "window_start").orderBy("t", "event_id"))
+    return placed.select("event_id", F.col("k").alias(key), "window_start", hits.alias("hits")).withColumn("is_blocked", F.col("hits") > limit)
 
 
 def route_limits(events: DataFrame, keys: list[str], ts: str = "ts", window: str = "15 minutes", limit: int = ROUTE_LIMIT, watermark: str | None = None) -> DataFrame:

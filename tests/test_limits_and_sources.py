@@ -37,6 +37,40 @@ def test_rate_limit_with_a_hot_key(spark):
     assert got == brute(rows, 900, 4)
 
 
+def test_rate_limit_of_long_runs_and_ties(spark):
+    """Chains of many windows without a gap, gaps of just a window, equal times, and other columns."""
+    t0, rng = datetime(2024, 1, 1, 0, 0, 7), random.Random(9)
+    for seed in range(3):
+        rows, at, n = [], 0, 0
+        for user in range(5):
+            at = rng.randint(0, 3000)
+            for _ in range(rng.choice([1, 3, 40, 400])):
+                at += rng.choice([0, 1, 13, 59, 60, 61, 7, 119, 120, 121] if user != 2 else [13, 20])
+                rows.append((n, user, t0 + timedelta(seconds=at)))
+                n += 1
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp").selectExpr("*", "1 as k", "2 as t", "3 as slot", "4 as s")
+        got = {r.event_id: (r.hits, r.is_blocked) for r in L.rate_limit(df, seconds=60, limit=2).collect()}
+        assert got == brute(rows, 60, 2)
+    assert L.rate_limit(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None, t0), (2, 5, None), (3, 5, t0)], "event_id bigint, user_id bigint, ts timestamp")
+    assert [tuple(r)[0] for r in L.rate_limit(odd).collect()] == [3]
+
+
+def test_an_endless_key_is_spread_over_tasks(spark):
+    """One key without a pause of a window: its windows and hits come from several tasks."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        t0 = datetime(2024, 1, 1)
+        rows = [(i, 1, t0 + timedelta(seconds=i * 11)) for i in range(4000)]
+        got = L.rate_limit(spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp"), seconds=900, limit=4)
+        per_task = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) > 1 and max(per_task) < 3500
+        assert {r.event_id: (r.hits, r.is_blocked) for r in got.collect()} == brute(rows, 900, 4)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_stream_equals_batch(spark):
     rows = sorted(log(200), key=lambda r: r[2])
     folder, spot = tempfile.mkdtemp(prefix="run-"), tempfile.mkdtemp(prefix="run-")
