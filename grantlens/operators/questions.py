@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grantlens.functions import categories as C
 from grantlens.functions.banding import js_round
@@ -173,24 +173,71 @@ def priority_id(norm: Column) -> Column:
     return out
 
 
-def token_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Overlap scores of (q_id, norm, q_tokens) against (c_ord, question, c_tokens) through a join on the token.
+#: A text inside another one shares all of its tokens but for those cut at its two ends.
+CUT_TOKENS = 2
 
-    Query tokens shrink to (query, token, count) first. The containment bonus needs the
-    texts; only pairs whose shared tokens still allow containment fetch them.
+
+def _item_index(corpus: DataFrame) -> DataFrame:
+    """(token, c_ord, c_distinct, n, anchor): the items of each token, how many there are, and whether the token is among its item's rarest."""
+    c = corpus.select("c_ord", F.array_distinct("c_tokens").alias("t")).select("c_ord", F.size("t").alias("c_distinct"), "t").select("c_ord", "c_distinct", F.explode("t").alias("token"))
+    by_rarity = Window.partitionBy("c_ord").orderBy("n", "token")
+    return c.join(c.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token").withColumn("anchor", F.row_number().over(by_rarity) <= CUT_TOKENS + 1)
+
+
+def _query_index(queries: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """(q_id, q_distinct, token, times, probes, rest, n_rest): the tokens of each query that items have, with repeats.
+
+    Tokens are ordered by how many items have them. The most frequent ones whose repeats together can't reach the score `least`
+    alone don't probe; `rest` and `n_rest` are their repeats and their number. A query that may lie inside an item probes
+    with its rarest tokens too.
     """
-    q = queries.select("q_id", F.size(F.array_distinct("q_tokens")).alias("q_distinct"), "q_tokens")
-    q = q.select("q_id", "q_distinct", F.explode("q_tokens").alias("token")).groupBy("q_id", "q_distinct", "token").agg(F.count(F.lit(1)).alias("times"))
-    c = corpus.select("c_ord", F.array_distinct("c_tokens").alias("c_tokens"))
-    c = c.select("c_ord", F.size("c_tokens").alias("c_distinct"), "c_tokens").select("c_ord", "c_distinct", F.explode("c_tokens").alias("token"))
-    sized = q.join(c, "token").groupBy("q_id", "c_ord", "q_distinct", "c_distinct").agg(F.sum("times").alias("hits"), F.count(F.lit(1)).alias("shared"))
-    sized = sized.withColumn("score", F.col("hits") / (F.col("q_distinct") + F.col("c_distinct") - F.col("shared")))
-    containable = (F.col("shared") >= F.col("c_distinct") - 2) | (F.col("shared") >= F.col("q_distinct") - 2)
+    known = index.select("token", "n").distinct()
+    q = queries.select("q_id", F.size(F.array_distinct("q_tokens")).alias("q_distinct"), "q_tokens").select("q_id", "q_distinct", F.explode("q_tokens").alias("token"))
+    q = q.join(known, "token").groupBy("q_id", "q_distinct", "token", "n").agg(F.count(F.lit(1)).alias("times"))
+    whole = Window.partitionBy("q_id")
+    frequent_first = whole.orderBy(F.col("n").desc(), "token")
+    q = q.withColumns({
+        "upto": F.sum("times").over(frequent_first.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(frequent_first), "present": F.count(F.lit(1)).over(whole)})
+    inside = (F.col("present") >= F.col("q_distinct") - CUT_TOKENS) & (F.col("present") - F.col("place") <= CUT_TOKENS)
+    q = q.withColumn("probes", inside | (F.col("upto") >= least * F.col("q_distinct") - 1e-9))
+    spare = lambda c: F.sum(F.when(~F.col("probes"), c).otherwise(0)).over(whole)
+    return q.select("q_id", "q_distinct", "token", "times", "probes", spare(F.col("times")).alias("rest"), spare(F.lit(1)).alias("n_rest"))
+
+
+def token_overlap(queries: DataFrame, corpus: DataFrame, least: float = Q.MIN_SCORE) -> DataFrame:
+    """Scores (q_id, c_ord, score) of (q_id, norm, q_tokens) against (c_ord, question, c_tokens), whole for all pairs that may be a query's best and reach `least`.
+
+    A prefix index: of a query's tokens, rarest first, only those probe the items that a pair must share
+    one of to reach `least`; the most frequent ones meet an item through its rarest tokens alone, which finds the
+    pairs of a text inside another. Pairs whose probed tokens and the query's other ones could reach both `least` and what
+    the query's best item has already are verified once: the other tokens are looked up by item and token. So a word of
+    every query and every item doesn't bring them all together. Texts are fetched only for pairs whose shared tokens allow containment.
+    """
+    c = durable(_item_index(corpus))
+    q = durable(_query_index(queries, c, least))
+    by_probe = q.filter("probes").join(c, "token")
+    by_anchor = q.filter(~F.col("probes")).join(c.filter("anchor"), "token")
+    met = by_probe.unionByName(by_anchor).groupBy("q_id", "c_ord", "q_distinct", "c_distinct", "rest", "n_rest").agg(
+        F.sum("times").alias("hits"), F.count(F.lit(1)).alias("shared"), F.count_if(~F.col("probes")).alias("by_anchor"))
+    union = F.col("q_distinct") + F.col("c_distinct") - F.col("shared")
+    most_shared = F.col("shared") + F.col("n_rest") - F.col("by_anchor")
+    may_lie_inside = (most_shared >= F.col("c_distinct") - CUT_TOKENS) | (most_shared >= F.col("q_distinct") - CUT_TOKENS)
+    most = (F.col("hits") + F.col("rest")) / F.greatest(F.lit(1), F.col("q_distinct") + F.col("c_distinct") - most_shared)
+    most = most + F.when(may_lie_inside, Q.CONTAINMENT_BONUS).otherwise(0.0)
+    # What is found already is a score that the best item has at least.
+    reached = F.greatest(F.max(F.col("hits") / union).over(Window.partitionBy("q_id")), F.lit(least))
+    kept = met.withColumn("reached", reached).filter(most >= F.col("reached") - 1e-9)
+    others = q.filter(~F.col("probes")).select("q_id", "token", "times").join(kept.filter("n_rest > by_anchor").select("q_id", "c_ord"), "q_id")
+    others = others.join(c.filter(~F.col("anchor")).select("token", "c_ord"), ["token", "c_ord"])
+    rows = kept.select("q_id", "c_ord", "q_distinct", "c_distinct", "hits", "shared").unionByName(
+        others.select("q_id", "c_ord", F.lit(None).cast("int").alias("q_distinct"), F.lit(None).cast("int").alias("c_distinct"), F.col("times").alias("hits"), F.lit(1).cast("long").alias("shared")))
+    sized = rows.groupBy("q_id", "c_ord").agg(*[F.max(n).alias(n) for n in ("q_distinct", "c_distinct")], F.sum("hits").alias("hits"), F.sum("shared").alias("shared"))
+    sized = sized.withColumn("score", F.col("hits") / union)
+    containable = (F.col("shared") >= F.col("c_distinct") - CUT_TOKENS) | (F.col("shared") >= F.col("q_distinct") - CUT_TOKENS)
+    asked = sized.filter(containable).select("q_id", "c_ord").join(corpus.select("c_ord", "question"), "c_ord").join(queries.select("q_id", "norm"), "q_id")
     low = F.lower("question")
-    contained = F.col("norm").contains(low) | low.contains(F.col("norm"))
-    checked = sized.filter(containable).join(corpus.select("c_ord", "question"), "c_ord").join(queries.select("q_id", "norm"), "q_id").select(
-        "q_id", "c_ord", (F.col("score") + F.when(contained, Q.CONTAINMENT_BONUS).otherwise(0.0)).alias("score"))
-    return sized.filter(~containable).select("q_id", "c_ord", "score").unionByName(checked)
+    inside = asked.filter(F.col("norm").contains(low) | low.contains(F.col("norm"))).select("q_id", "c_ord", F.lit(Q.CONTAINMENT_BONUS).alias("bonus"))
+    return sized.select("q_id", "c_ord", "score").join(inside, ["q_id", "c_ord"], "left").select("q_id", "c_ord", (F.col("score") + F.coalesce("bonus", F.lit(0.0))).alias("score"))
 
 
 def _row_score(norm: Column, q_tokens: Column, question: Column, c_tokens: Column) -> Column:
@@ -322,5 +369,3 @@ def screen_utterances(df: DataFrame, key: str, text: str = "text", assume_govern
     if assume_government_quota:
         profiles = profiles.withColumn("quota_type", F.when(F.col("quota_type") == "unknown", "government").otherwise(F.col("quota_type")))
     return rank_schemes(profiles, key=key, top_k=top_k).filter(F.col("status").isin("CONFIRMED MATCH", "POTENTIAL MATCH"))
-
-
