@@ -169,13 +169,13 @@ def latest_event_per_user(spark, base):
     return S.dedup_latest(table(spark, base, "events").select("user_id", "event_type", "value", "event_id").withColumn("ord", F.col("event_id")), ["user_id"], "ord").drop("ord")
 
 
-_INTAKE_SQL = "case " + " ".join(
+INTAKE_SQL = "case " + " ".join(
     f"when length(coalesce({n}, '')) > {m} then '{n}_too_long'" + (f" when coalesce(email, '') <> '' and not regexp_matches(email, '{S.EMAIL}') then 'email_invalid'" if n == "email" else "")
     for n, m in S.INTAKE_LIMITS.items()) + """ when rating < 0 or rating > 5 then 'rating_out_of_range' when length(coalesce(captcha_token, '')) not between 20 and 4096 then 'token_invalid'
  when trim(coalesce(name, '')) = '' and trim(coalesce(email, '')) = '' and trim(coalesce(issue_type, '')) = '' and trim(coalesce(message, '')) = '' and trim(coalesce(comment, '')) = '' and rating = 0 then 'empty' end"""
 
 
-@job("intake_verdicts", "S6", sql=f"""with i as (select *, {_INTAKE_SQL} as reject_reason from ({INTAKE}) i0)
+@job("intake_verdicts", "S6", sql=f"""with i as (select *, {INTAKE_SQL} as reject_reason from ({INTAKE}) i0)
 select record_id, reject_reason, case when reject_reason is null then trim(coalesce(name, '')) else name end as name from i""")
 def intake_verdicts(spark, base):
     return S.judge_intake(sql_over(spark, base, INTAKE)).select("record_id", "reject_reason", "name")

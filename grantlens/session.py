@@ -48,15 +48,14 @@ def sql_over(spark: SparkSession, base: str, text: str) -> DataFrame:
     return spark.sql(bound, **{t: table(spark, base, t) for t in used})
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate result that several branches read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see, as the cluster names it in `spark.checkpoint.dir`.
 
-    The rows go to the shared checkpoint folder the cluster names, so they survive lost
-    executors. Only a session whose executors live in the driver's own process may go without one.
+    Only a session whose executors live in the driver's own process may go without one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if named is None:
@@ -64,4 +63,20 @@ def durable(df: DataFrame) -> DataFrame:
 
             named = tempfile.mkdtemp(prefix="run-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    import uuid
+
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate result that several branches read.
+
+    The rows go to the shared checkpoint folder, so they survive lost executors.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from grantlens.sources.records import judge_intake
+from grantlens.streaming.sinks import split_sink
 
 
 def stream_intake(records: DataFrame, valid_path: str, rejected_path: str, checkpoint: str) -> StreamingQuery:
-    """Start the intake; each micro-batch writes both sides under its own batch folder, so a replay overwrites itself."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.filter("reject_reason is null").drop("reject_reason").write.mode("overwrite").json(f"{valid_path}/batch={batch_id}")
-        batch.filter("reject_reason is not null").write.mode("overwrite").json(f"{rejected_path}/batch={batch_id}")
-
-    return judge_intake(records).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start the intake over all that has arrived; each micro-batch writes both sides under its own batch number, so a replay overwrites itself."""
+    reason = F.col("reject_reason")
+    sink = split_sink({valid_path: reason.isNull(), rejected_path: reason.isNotNull()}, drop={valid_path: ("reject_reason",)})
+    return judge_intake(records).writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,9 @@
 
 import json
 import random
+import shutil
 import tempfile
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from pyspark.sql import functions as F
 from grantlens.operators.evaluation import assign_split, global_ordinal
 from grantlens.sources import records as S
 from grantlens.streaming import limits as L
+from grantlens.streaming.expiry import closed_windows, use_timers
 from grantlens.streaming.intake import stream_intake
+from grantlens.streaming.sinks import read_batches, split_sink
 
 
 def brute(rows, seconds, limit):
@@ -121,9 +125,60 @@ def test_intake_stream_has_a_quarantine(spark):
     spark.createDataFrame([("A", "a@b.in", "", "x", "", 1.0, TOKEN), ("B", "", "", "", "", 9.0, TOKEN)], INTAKE).write.mode("overwrite").json(source)
     stream_intake(spark.readStream.schema(INTAKE).json(source), out + "/v", bad + "/r", spot).awaitTermination(120)
     assert spark.read.json(out + "/v").count() == 1
+    assert read_batches(spark, out + "/none", INTAKE).count() == 0
     assert [r.reject_reason for r in spark.read.json(bad + "/r").collect()] == ["rating_out_of_range"]
 
 
+def test_a_replayed_batch_leaves_no_duplicates(spark):
+    """The log of finished batches loses its last entry, as when the driver dies after writing: the batch runs again."""
+    source, out, bad, spot = (tempfile.mkdtemp(prefix="run-") for _ in range(4))
+    schema = INTAKE + ", n int"
+    run = lambda log: stream_intake(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(source), out + "/v", bad + "/r", log)
+    for n in range(2):
+        rows = [("A", "", "", f"text {n}", "", float(i % 7), TOKEN, n * 100 + i) for i in range(20)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(source)
+    run(spot).awaitTermination(120)
+    read = lambda: sorted(r.n for p in (out + "/v", bad + "/r") for r in read_batches(spark, p, "n int").collect())
+    assert read() == [*range(20), *range(100, 120)]
+    lost = shutil.copytree(spot, tempfile.mkdtemp(prefix="run-") + "/log", ignore=lambda at, names: {"1", ".1.crc"} & set(names) if at.endswith("commits") else ())
+    again = run(lost)
+    again.awaitTermination(120)
+    assert [p["batchId"] for p in again.recentProgress if p["numInputRows"]] == [1]
+    assert read() == [*range(20), *range(100, 120)]
+
+
+def test_expired_windows_of_unordered_batches(spark):
+    """Several micro-batches, out of order within the delay: windows equal those of the batch job, a late event counts nowhere, state goes."""
+    use_timers(spark)
+    t0 = datetime(2024, 1, 1)
+    rng = random.Random(4)
+    at = sorted(rng.randint(0, 30_000) for _ in range(300))
+    rows = [(i, rng.choice([1, 1, 1, 2, 3, 4]), t0 + timedelta(seconds=s)) for i, s in enumerate(at)]
+    parts = [rows[a:a + 75] for a in range(0, 300, 75)]
+    # Neighbouring events change places over the border of two batches.
+    for a, b in zip(parts, parts[1:]):
+        a[-1], b[0] = b[0], a[-1]
+    late, end = (900, 1, t0 + timedelta(seconds=at[10])), (901, 99, t0 + timedelta(seconds=200_000))
+    parts = [*parts, [late], [end]]
+    source, out, spot = (tempfile.mkdtemp(prefix="run-") for _ in range(3))
+    schema = "event_id bigint, user_id bigint, ts timestamp"
+    for part in parts:
+        shuffled = rng.sample(part, len(part))
+        spark.createDataFrame([*shuffled, (None, None, part[0][2])], schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)  # files are taken in order of their times
+    stream = closed_windows(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), seconds=900, limit=3, watermark="600 seconds")
+    q = stream.writeStream.foreachBatch(split_sink({out + "/w": F.lit(True)}, kind="parquet")).option("checkpointLocation", spot).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    got = {(r.user_id, r.window_start): (r.hits, r.n_blocked) for r in read_batches(spark, out + "/w", stream.schema, "parquet").collect()}
+    want = {}
+    for r in L.rate_limit(spark.createDataFrame(rows, schema), seconds=900, limit=3).collect():
+        n, blocked = want.get((r.user_id, r.window_start), (0, 0))
+        want[r.user_id, r.window_start] = (n + 1, blocked + r.is_blocked)
+    assert got == want
+    operators = [p["stateOperators"][0] for p in q.recentProgress if p["stateOperators"]]
+    assert sum(o["numRowsDroppedByWatermark"] for o in operators) >= 1
+
+
 def test_sessions_end_on_the_first_bad_attempt(spark):
     t0 = datetime(2024, 1, 1)
     sessions = spark.createDataFrame([("s", "ip1", t0)], "token string, ip string, issued_at timestamp")
