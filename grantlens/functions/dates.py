@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from grantlens.functions.names import title_name
+from grantlens.functions.text import blank_to_null
+
 DAY_FIRST = r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$"
 YEAR_FIRST = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"
+# Names of months; the first three letters are known too.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+#: A month as a word: full names first, then the short ones.
+MONTH_WORD = r"\b(" + "|".join([*MONTHS, *(m[:3].upper() for m in MONTHS)]) + r")\b"
 DAYS_PER_MONTH_FRESHNESS = 30.0
 DAYS_PER_MONTH_EXPIRY = 30.44
 
@@ -35,3 +42,13 @@ def dashed_date(text: Column) -> Column:
 
 def months_between_days(later: Column, earlier: Column, days_per_month: float) -> Column:
     return F.datediff(later, earlier) / F.lit(days_per_month)
+
+
+def normalize_month(text: Column) -> Column:
+    """The full name of a month given whole or by three letters, in any case; other words in title case, NULL for none."""
+    key = F.lower(F.trim(text))
+    out = None
+    for name in MONTHS:
+        test = key.isin(name.lower(), name[:3].lower())
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out.otherwise(blank_to_null(title_name(text)))

@@ -75,3 +75,19 @@ def test_parent_names_join_the_case_status(spark):
     got = {r.case_id: r for r in I.cross_document_status(docs).collect()}
     assert (got[1].status, got[1].parent_status, got[1].dob_status) == ("SIGNIFICANT CONFLICT", "SIGNIFICANT CONFLICT", "CONSISTENT")
     assert got[2].status == "INSUFFICIENT DATA"
+
+
+def test_months_and_examination_periods(spark):
+    from grantlens.functions.dates import normalize_month
+    from grantlens.operators.extraction import exam_period
+
+    months = {"mar": "March", " MARCH ": "March", "Sep": "September", "may": "May", "sept": "Sept", "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in months], "m string").select("m", normalize_month(F.col("m")).alias("got")).collect()
+    assert {r.m: r.got for r in rows} == months
+    periods = {
+        "SESSION AND YEAR OF ISSUE : MAR 2019": ("March", 2019), "Examination held in April2021": ("April", 2021), "YEAR OF PASSING: 2018, printed in June": ("June", 2018),
+        "result OCT 2020 of May": ("October", 2020), "on 3 January, 2016": ("January", 2016), "dated 12.05.2017": (None, 2017), "2017 in august": ("August", 2017),
+        "YEAR OF PASSING Sometime 1999 and July": ("July", 1999), "year 1999": (None, None), "marched 2041": (None, None), "பருவம்: MAR 2020": ("March", 2020), "": (None, None), None: (None, None),
+    }
+    rows = spark.createDataFrame([(k,) for k in periods], "t string").select("t", exam_period(F.col("t")).alias("p")).collect()
+    assert {r.t: (r.p.month, r.p.year) for r in rows} == periods
