@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from grantlens.functions import categories as C, names as N
 
-from grantlens.operators import identity as I
+from grantlens.operators import identity as I, passes as P
 from grantlens.plans.registry import job
-from grantlens.plans.views import AS_OF, CASE_DOCUMENTS, CASE_FACTS, PASSES, case_documents, case_facts, passes
+from grantlens.plans.views import AS_OF, CASE_DOCUMENTS, CASE_FACTS, PASS_FIELDS, PASS_KIND, PASSES, case_documents, case_facts, pass_fields, passes
 from grantlens.plans.sqltext import quoted
 
 _EDGE = ".,\\-_/\\\\#;:''\""
@@ -260,6 +260,31 @@ def reconciled_passes(spark, base):
     return I.reconcile_passes(passes(spark, base))
 
 
+def _reconciled_sql() -> str:
+    sheet, group = f"kind in ({quoted(P.MARKSHEETS)})", quoted(P.MARKS_GROUP)
+    rows = " union all ".join(f"select doc_id, kind, pass_no, '{f}' as field, nullif({v}, '') as value, cast({c} as double) as confidence from p" for f, (v, c) in PASS_FIELDS.items())
+    return f"""with p as (select *, {PASS_KIND} as kind from ({PASSES}) x),
+r as (select * from ({rows}) y where value is not null), d as (select doc_id, min(pass_no) as base, max(pass_no) as last from p group by 1),
+n as (select *, coalesce(confidence, {P.NAME_DEFAULT}) as c0, count(*) over (partition by doc_id, regexp_replace(lower(value), '[^a-z]', '', 'g')) as n from r where field = 'name'),
+nt as (select *, round(c0 + case when n >= 2 then {P.AGREEMENT_BONUS} else 0 end, 6) as total from n),
+nw as (select nt.*, base, last from nt join d using (doc_id) qualify row_number() over (partition by doc_id order by total desc, pass_no) = 1),
+b as (select r.*, base, case field when 'marks' then {P.MARKS_DEFAULT} else {P.SCHOOL_DEFAULT} end as unknown, min(pass_no) over (partition by doc_id, field) as first_read
+ from r join d using (doc_id) where {sheet} and field in ('marks', 'school')),
+bw as (select * from b qualify row_number() over (partition by doc_id, field order by case when confidence is not null then confidence when pass_no <> first_read then -1 when pass_no = base then 0 else unknown end desc, pass_no) = 1),
+source as (select d.doc_id, coalesce(w.pass_no, d.base) as pass_no from d left join (select * from bw where field = 'marks') w using (doc_id)),
+f as (select * from r where field <> 'name' and (not {sheet} or field in ({quoted(P.FILLED_FIELDS)})) qualify row_number() over (partition by doc_id, field order by pass_no) = 1)
+select doc_id, kind, field, value, case when last > base then least({P.MOST_NAME_CONFIDENCE}, round(total, 2)) else confidence end as confidence, pass_no from nw
+union all select doc_id, kind, field, value, coalesce(confidence, case when pass_no <> base then unknown end), pass_no from bw
+union all select doc_id, kind, field, value, confidence, pass_no from r join source using (doc_id, pass_no) where {sheet} and field in ({group})
+union all select doc_id, kind, field, value, confidence, pass_no from f
+union all select doc_id, kind, field, value, confidence, pass_no from r join d using (doc_id) where {sheet} and field not in ('name', 'marks', 'school', {group}, {quoted(P.FILLED_FIELDS)}) and pass_no = base"""
+
+
+@job("reconciled_fields", "A9", sql=_reconciled_sql())
+def reconciled_fields(spark, base):
+    return P.reconcile_fields(pass_fields(spark, base))
+
+
 @job("pass_consensus", "A10", sql=f"""with p as ({PASSES}),
 k as (select *, regexp_replace(upper(name), '[^A-Z0-9]', '', 'g') as k from p where name is not null),
 g as (select doc_id, k, count(*) as n, min(pass_no) as fp, max(engine_conf) as top, arg_max(name, engine_conf * 1000 - pass_no) as name from k group by 1, 2),

@@ -83,6 +83,21 @@ select distinct l_orderkey as doc_id, l_linenumber as pass_no,
 from lineitem
 """
 
+# The same passes as rows of fields, some without a confidence: field -> (value, confidence).
+PASS_KIND = "case doc_id % 4 when 0 then 'ms10' when 1 then 'ms12' when 2 then 'community' else 'income' end"
+PASS_FIELDS = {
+    "name": ("name", "case when doc_id % 5 = 0 then null else name_conf end"),
+    "marks": ("case when doc_id % 7 = 3 then null else marks end", "case when (doc_id + pass_no) % 6 = 0 then null else marks_conf end"),
+    "max_marks": ("case when marks is null then null else '500' end", "marks_conf"),
+    "percentage": ("case when pass_no % 2 = 0 then concat(cast(40 + (doc_id + pass_no) % 50 as varchar(3)), '%') end", "cast(null as double)"),
+    "grade": ("case when pass_no % 3 = 1 then 'A' when pass_no % 3 = 2 then '' end", "cast(null as double)"),
+    "school": ("school", "case when (doc_id + pass_no) % 3 = 0 then null else school_conf end"),
+    "dob": ("dob", "school_conf"),
+    "register_number": ("register_number", "marks_conf"),
+    "district": ("case when (doc_id + pass_no) % 3 > 0 then concat('Salem ', cast(pass_no as varchar(3))) end", "name_conf"),
+    "income": ("case when pass_no % 2 = 1 then cast(20000 + doc_id as varchar(12)) end", "cast(null as double)"),
+}
+
 # What a case states and what its certificates show.
 CASE_FACTS = """
 select o_orderkey as case_id,
@@ -240,6 +255,14 @@ def passes(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, PASSES)
 
 
+def pass_fields(spark: SparkSession, base: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    entries = [F.expr(f"struct('{f}' as field, {v} as value, cast({c} as double) as confidence)") for f, (v, c) in PASS_FIELDS.items()]
+    long = passes(spark, base).select("doc_id", F.expr(PASS_KIND).alias("kind"), "pass_no", F.explode(F.array(*entries)).alias("f"))
+    return long.select("doc_id", "kind", "pass_no", "f.*")
+
+
 def case_facts(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, CASE_FACTS)
 
@@ -262,6 +285,16 @@ def certificates(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, CERTIFICATES)
 
 
+def scanned(spark: SparkSession, base: str) -> DataFrame:
+    """Certificates with the texts of two recognition passes, the second one with damaged digits, and the engine's confidence."""
+    from pyspark.sql import functions as F
+
+    second = F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("A"), F.lit("4"))).otherwise(F.regexp_replace("text", r"\b0(\d)", "O$1"))
+    slot = F.when(F.col("doc_id") % 11 > 0, F.col("slot"))
+    return certificates(spark, base).select(
+        "doc_id", slot.alias("slot"), F.array("text", second).alias("passes"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 60 + 40).cast("double").alias("engine"))
+
+
 def texts(spark: SparkSession, base: str) -> DataFrame:
     """Spark replaces all tags without the flag the comparison engine needs."""
     return sql_over(spark, base, TEXTS.replace(", ' ', 'g')", ", ' ')"))
