@@ -84,6 +84,24 @@ def parent_income_override(pairs: DataFrame) -> DataFrame:
     })
 
 
+def parent_income_check(cases: DataFrame, key: str = "case_id") -> DataFrame:
+    """Whose name the income certificate is checked against: (student_name_match, parent_name_used, match, score, consistent).
+
+    A parent as provider is never held against the student; the first known of parent, father and mother is compared, leniently,
+    with the holder of the income certificate. Without either name, match and score are NULL; a name without letters is MISSING.
+    """
+    filled = lambda column: F.nullif(F.trim(column), F.lit(""))
+    by_parent = F.coalesce(F.col("income_applicant") == "parent", F.lit(False))
+    named = cases.select(key, by_parent.alias("by_parent"), F.when(by_parent, F.coalesce(*[filled(c) for c in ("parent_name", "father_name", "mother_name")])).alias("parent"),
+                         F.when(by_parent, filled("income_name")).alias("holder"))
+    judged = compare_names(named.withColumns({"a_value": name_key(F.col("parent")), "b_value": name_key(F.col("holder")), "is_strict": F.lit(False)}))
+    both = F.col("parent").isNotNull() & F.col("holder").isNotNull()
+    return judged.select(
+        key, F.when(F.col("by_parent"), "SKIPPED").otherwise("CHECKED").alias("student_name_match"), F.col("by_parent").alias("parent_name_used"),
+        F.when(both, F.col("status")).alias("match"), F.when(both, F.col("score")).alias("score"),
+        F.coalesce(both & F.col("status").isin("MATCH", "EXACT_MATCH"), F.lit(False)).alias("consistent"))
+
+
 def compare_dob(a: Column, b: Column) -> Column:
     """N3."""
     da, db = D.parse_date(a), D.parse_date(b)

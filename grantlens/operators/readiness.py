@@ -201,68 +201,101 @@ def application_vs_document(cases: DataFrame, key: str = "case_id") -> DataFrame
     return cases.select(key, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(key, "r.*")
 
 
-# Sources of the profile taken from documents, in order of preference, with the
-# confidence a typed reference value carries.
+# Confidence of values typed from a reference and from a passbook, and of documents that carry none.
 REFERENCE_CONFIDENCE, PASSBOOK_CONFIDENCE, DEFAULT_CONFIDENCE = 100, 95, 90
+# The state where no certificate names one, and fields that only the applicant can give.
+DEFAULT_STATE = "Tamil Nadu"
+ONLY_ENTERED = ("course", "current_year")
 
 
-def profile_from_documents(cases: DataFrame, key: str = "case_id") -> DataFrame:
-    """Best-sourced name, birth date, community and income of a case, with provenance.
+def marks_percentage(percentage: Column, scored: Column, maximum: Column) -> Column:
+    """The stated percentage, also where it can't be read; without one, the whole percentage of the marks."""
+    stated = F.regexp_extract(F.trim(F.replace(percentage, F.lit("%"), F.lit(""))), r"^([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
+    derived = F.when(maximum > 0, js_round(scored / maximum * 100)).cast("double")
+    return F.when(blank_to_null(percentage).isNotNull(), stated).otherwise(derived)
 
-    Values read with less than 50 % confidence are not taken over. Quota and first-graduate
-    answers are never assumed.
+
+def _percent_text(x: Column) -> Column:
+    return F.concat(F.regexp_replace(F.round(x, 4).cast("decimal(14,4)").cast("string"), r"\.?0+$", ""), F.lit("%"))
+
+
+def profile_from_documents(cases: DataFrame, key: str = "case_id", default_state: str | None = DEFAULT_STATE) -> DataFrame:
+    """The profile that the documents of a case give: (field, value, source, confidence, status).
+
+    Every field takes the first source that has a value: reference input, marksheets, certificates, passbook. Name, birth date,
+    community and income read with less than 50 % confidence are not taken over; marks are. Parent, state and district have a
+    source and no confidence. Course and current year are always missing rows; quota and first-graduate answers are never
+    assumed. `default_state=None` leaves an unnamed state out. Blank values count as missing.
     """
     c = F.col
+    filled = lambda column: blank_to_null(F.trim(column))
     conf = lambda column: F.coalesce(F.col(column), F.lit(DEFAULT_CONFIDENCE))
-    fixed = lambda n: F.lit(n)
+    fixed, none = F.lit, F.lit(None)
     amount = lambda column: F.col(column).cast("bigint")
-    category = F.coalesce(to_category(c("community_category")), F.upper("community_category"))
+    stated = F.coalesce(filled("community_category"), filled("community_name"))
+    category = F.coalesce(to_category(stated), F.upper(stated))
+    marks = lambda slot: _percent_text(marks_percentage(c(f"{slot}_percentage"), c(f"{slot}_scored"), c(f"{slot}_maximum")))
     sources = {
-        "name": [("identity", blank_to_null(F.trim("aadhaar_name")), fixed(REFERENCE_CONFIDENCE)), ("ms10", c("tenth_name"), conf("tenth_conf")),
-                 ("ms12", c("twelfth_name"), conf("twelfth_conf")), ("income", c("income_name"), conf("income_conf")),
-                 ("bank", blank_to_null(F.trim("bank_holder")), fixed(PASSBOOK_CONFIDENCE))],
-        "dob": [("identity", c("aadhaar_dob"), fixed(REFERENCE_CONFIDENCE)), ("ms10", c("tenth_dob"), conf("tenth_conf"))],
-        "community": [("community", category, conf("community_conf")), ("entered", c("category"), fixed(REFERENCE_CONFIDENCE))],
+        "name": [("identity", filled("aadhaar_name"), fixed(REFERENCE_CONFIDENCE)), ("ms10", filled("tenth_name"), conf("tenth_conf")),
+                 ("ms12", filled("twelfth_name"), conf("twelfth_conf")), ("community", filled("community_holder"), conf("community_conf")),
+                 ("income", filled("income_name"), conf("income_conf")), ("bank", filled("bank_holder"), fixed(PASSBOOK_CONFIDENCE))],
+        "dob": [("identity", filled("aadhaar_dob"), fixed(REFERENCE_CONFIDENCE)), ("ms10", filled("tenth_dob"), conf("tenth_conf")), ("ms12", filled("twelfth_dob"), conf("twelfth_conf"))],
+        "community": [("community", category, conf("community_conf")), ("entered", filled("category"), fixed(REFERENCE_CONFIDENCE))],
         "income": [("income", F.when(amount("income_value") > 0, amount("income_value")).cast("string"), conf("income_conf")),
-                   ("entered", amount("income").cast("string"), fixed(REFERENCE_CONFIDENCE))],
+                   ("entered", F.when(amount("income") >= 0, amount("income")).cast("string"), fixed(REFERENCE_CONFIDENCE))],
+        "marks10": [("ms10", marks("tenth"), conf("tenth_conf"))], "marks12": [("ms12", marks("twelfth"), conf("twelfth_conf"))],
+        "parent_name": [(slot, filled(f"{of}_father"), none) for slot, of in (("community", "community"), ("income", "income"), ("ms12", "twelfth"), ("ms10", "tenth"))],
+        "state": [("community", filled("community_state"), none), ("income", filled("income_state"), none), ("default", F.lit(default_state), none)],
+        "district": [("community", filled("community_district"), none), ("income", filled("income_district"), none)],
     }
-    rows = []
-    for field, options in sources.items():
-        pick = None
-        for source, value, confidence in options:
-            entry = F.struct(F.lit(field).alias("field"), value.alias("value"), F.lit(source).alias("source"), confidence.cast("int").alias("confidence"))
-            pick = F.when(value.isNotNull(), entry) if pick is None else pick.when(value.isNotNull(), entry)
-        rows.append(pick)
+    entry = lambda field, value, source, confidence: F.struct(
+        F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(source).cast("string").alias("source"), confidence.cast("int").alias("confidence"))
+    rows = [F.coalesce(*[F.when(value.isNotNull(), entry(field, value, source, confidence)) for source, value, confidence in options]) for field, options in sources.items()]
+    rows += [entry(field, none, None, F.lit(0)) for field in ONLY_ENTERED]
     long = cases.select(key, F.explode(F.array_compact(F.array(*rows))).alias("r")).select(key, "r.*")
-    status = band(F.col("confidence"), PROFILE_BANDS, "review")
-    return long.withColumn("status", status).withColumn("value", F.when(F.col("status") != "untrusted", F.col("value")))
+    status = F.when(F.col("field").isin(*ONLY_ENTERED), "missing").when(F.col("confidence").isNotNull(), band(F.col("confidence"), PROFILE_BANDS, "review"))
+    distrusted = (F.col("status") == "untrusted") & F.col("field").isin("name", "dob", "community", "income")
+    return long.withColumn("status", status).withColumn("value", F.when(~F.coalesce(distrusted, F.lit(False)), F.col("value")))
 
 
-def conflict_warnings(name_status: Column, dob_status: Column, income_status: Column, community_status: Column) -> Column:
-    """Warning codes raised by the consistency checks, as `severity:field`."""
-    return F.array_compact(F.array(
-        F.when(name_status == "red", "danger:name").when(name_status == "yellow", "warning:name"), F.when(dob_status == "red", "danger:dob"),
-        F.when(income_status == "MISMATCH", "warning:income"), F.when(community_status == "MISMATCH", "warning:community")))
+def profile_warnings(consistency: DataFrame, key: str = "case_id") -> DataFrame:
+    """(severity, field) of the conflicts that the consistency checks found: rows of name_status, dob_status, income_status
+    and community_status as A6 gives them. A case without conflicts has no row."""
+    warn = lambda when, severity, field: F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(field).alias("field")))
+    codes = F.array(
+        warn(F.col("name_status") == "red", "danger", "name"), warn(F.col("name_status") == "yellow", "warning", "name"), warn(F.col("dob_status") == "red", "danger", "dob"),
+        warn(F.col("income_status") == "MISMATCH", "warning", "income"), warn(F.col("community_status") == "MISMATCH", "warning", "community"))
+    return consistency.select(key, F.explode(F.array_compact(codes)).alias("w")).select(key, "w.*")
 
 
 def document_matrix(cases: DataFrame, as_of: Column, key: str = "case_id") -> DataFrame:
-    """Identity, academic, social, financial, bank and residence sections side by side."""
+    """Identity, academic, social, financial, bank and residence sections side by side.
+
+    Where both mark sheets have a value, the later one's counts. Genders are compared only where both are known; validity of
+    certificates follows their age alone (12 months for income, 60 for community), unknown dates are not expired.
+    """
     c = F.col
     names = F.array_compact(F.array("aadhaar_name", "tenth_name", "twelfth_name", "bank_holder", "bonafide_name"))
     others_differ = F.exists(names, lambda n: name_similarity(F.get(names, F.lit(0)), n) < 0.75)
     dob_differs = D.dashed_date(c("tenth_dob")) != D.dashed_date(c("aadhaar_dob"))
+    later = lambda field: F.coalesce(blank_to_null(c(f"twelfth_{field}").cast("string")), blank_to_null(c(f"tenth_{field}").cast("string"))).alias(field)
+    expired = lambda issue, months: F.coalesce(certificate_expiry(as_of, c(issue), F.lit(None).cast("string"), months) == "REQUIRES_REVIEW", F.lit(False))
+    months_old = lambda issue: js_round(D.months_between_days(as_of, D.parse_date(c(issue)), D.DAYS_PER_MONTH_EXPIRY))
+    genders = F.when(F.lower("gender") == F.lower("aadhaar_gender"), "MATCH").when(c("gender").isNull() | c("aadhaar_gender").isNull(), "UNCONFIRMED").otherwise("MISMATCH")
     return cases.select(
         key, "aadhaar_name", "tenth_name", "twelfth_name", "bank_holder", "bonafide_name",
         F.when((F.size(names) > 1) & others_differ, "MISMATCH").otherwise("MATCH").alias("name_consistency"),
-        F.when(F.coalesce(dob_differs, F.lit(False)), "MISMATCH").otherwise("MATCH").alias("dob_consistency"),
+        "tenth_dob", "aadhaar_dob", F.when(F.coalesce(dob_differs, F.lit(False)), "MISMATCH").otherwise("MATCH").alias("dob_consistency"),
+        c("gender").alias("profile_gender"), "aadhaar_gender", genders.alias("gender_consistency"),
+        "tenth_year", "twelfth_year", later("scored"), later("percentage"), later("board"), later("register_number"),
         F.coalesce("doc_course", "course").alias("course"), F.coalesce("doc_institution", "institution").alias("institution"),
-        c("community_category").alias("category"), "first_graduate",
-        c("income_value").cast("bigint").alias("income_amount"),
+        c("community_name").alias("community"), c("community_category").alias("category"), "disability_percentage", "first_graduate",
+        F.when(c("first_graduate_cert"), "certificate").otherwise("entered").alias("first_graduate_source"),
+        expired("community_issue_date", 60).alias("community_expired"), months_old("community_issue_date").alias("community_months_old"),
+        c("income_value").cast("bigint").alias("income_amount"), "income_year",
         F.when(c("income_applicant") == "parent", F.coalesce("parent_name", F.lit("Parent"))).otherwise(F.coalesce("student_name", F.lit("Student"))).alias("income_provider"),
-        F.coalesce(certificate_expiry(as_of, c("income_issue_date"), F.lit(None).cast("string"), 12) == "REQUIRES_REVIEW", F.lit(False)).alias("income_expired"),
-        js_round(D.months_between_days(as_of, D.parse_date(c("income_issue_date")), D.DAYS_PER_MONTH_EXPIRY)).alias("income_months_old"),
-        "ifsc", valid_ifsc(c("ifsc")).alias("ifsc_valid"), "aadhaar_bank_linked",
-        F.coalesce("state", "doc_state").alias("state"), "district",
+        c("income_applicant").alias("income_provider_role"), c("income_name").alias("income_certificate_name"), "income_cert_number", "income_issue_date",
+        expired("income_issue_date", 12).alias("income_expired"), months_old("income_issue_date").alias("income_months_old"),
+        "ifsc", valid_ifsc(c("ifsc")).alias("ifsc_valid"), F.coalesce("account_type", F.lit("Savings")).alias("account_type"), "aadhaar_bank_linked",
+        F.coalesce("state", "doc_state").alias("state"), F.coalesce("district", "doc_district").alias("district"), F.coalesce("domicile", "state").alias("domicile"),
     )
-
-

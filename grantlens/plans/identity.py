@@ -8,7 +8,7 @@ from grantlens.functions import categories as C, names as N
 
 from grantlens.operators import identity as I, passes as P
 from grantlens.plans.registry import job
-from grantlens.plans.views import AS_OF, CASE_DOCUMENTS, CASE_FACTS, PASS_FIELDS, PASS_KIND, PASSES, case_documents, case_facts, pass_fields, passes
+from grantlens.plans.views import AS_OF, CASE_DOCUMENTS, CASE_FACTS, PASS_FIELDS, PASS_KIND, PASSES, PROVIDERS, case_documents, case_facts, pass_fields, passes, providers
 from grantlens.plans.sqltext import quoted
 
 _EDGE = ".,\\-_/\\\\#;:''\""
@@ -182,7 +182,19 @@ def parent_income_override(spark, base):
     return I.parent_income_override(pairs).select("case_id", "a_doc", "b_doc", "status", "parent_name_used")
 
 
-@job("consistency_score", "A6", sql=f"""with {_OVERRIDE},
+@job("parent_income_check", "N7", sql=f"""with c as (select case_id, income_applicant = 'parent' as by_parent, coalesce(nullif(trim(parent_name), ''), nullif(trim(father_name), ''), nullif(trim(mother_name), '')) as parent,
+ nullif(trim(income_name), '') as holder from ({PROVIDERS}) x),
+k as (select *, {name_key_sql('parent')} as a_value, {name_key_sql('holder')} as b_value, false as is_strict from c),
+apart as (select distinct a_value, b_value, is_strict from k where by_parent and parent is not null and holder is not null),
+judged as (select a_value, b_value, status, score from {compared_sql('apart')} j)
+select case_id, case when by_parent then 'SKIPPED' else 'CHECKED' end as student_name_match, by_parent as parent_name_used, case when ok then status end as match, case when ok then round(score, 4) end as score,
+ coalesce(ok and status in ('MATCH', 'EXACT_MATCH'), false) as consistent
+from (select k.*, by_parent and parent is not null and holder is not null as ok, status, score from k left join judged j on k.a_value is not distinct from j.a_value and k.b_value is not distinct from j.b_value) y""")
+def parent_income_check(spark, base):
+    return I.parent_income_check(providers(spark, base)).withColumn("score", F.round("score", 4))
+
+
+CONSISTENCY_SQL = f"""with {_OVERRIDE},
 v as (select case_id, bool_or(status = 'MISMATCH') as bad, bool_or(status in ({quoted(I.MINOR_STATUSES)})) as minor from overridden group by 1),
 n as (select a.case_id, count(distinct d.doc_type) as n_names from (select distinct case_id from alldocs) a left join docs d using (case_id) group by 1),
 dob as (select d.case_id, bool_or(st = 'MISMATCH') as dbad, bool_or(st = 'MATCH') as dok from (select d.case_id, {dob_sql('d.dob', 'r.dob')} as st from dated d join dated r on r.case_id = d.case_id and r.doc_type = 'identity' where d.doc_type in ({quoted(I.DATED_SLOTS)})) d group by 1),
@@ -193,7 +205,10 @@ p as (select *, case name_status when 'green' then 30 when 'yellow' then 20 else
  + case when community_status = 'MATCH' then 15 else 0 end + case when account_type = 'Single' then 15 else 0 end as points from s)
 select case_id, name_status, dob_status, income_status, community_status, freshness, points,
  case when name_status = 'red' or dob_status = 'red' or coalesce(account_type = 'Joint', false) or income_status = 'EXPIRED' or community_status = 'MISMATCH' then 'Issues Found — Correction Required'
- when points >= 85 then 'High Consistency — Ready for Official Application' when points >= 60 then 'Moderate Consistency — Review Warnings' else 'Needs Review' end as readiness from p""")
+ when points >= 85 then 'High Consistency — Ready for Official Application' when points >= 60 then 'Moderate Consistency — Review Warnings' else 'Needs Review' end as readiness from p"""
+
+
+@job("consistency_score", "A6", sql=CONSISTENCY_SQL)
 def consistency_score(spark, base):
     return I.consistency_score(case_facts(spark, base), case_documents(spark, base), F.lit(AS_OF).cast("date"))
 

@@ -9,10 +9,10 @@ from grantlens.functions.banding import PROFILE_BANDS
 from grantlens.operators import readiness as R
 from grantlens.operators.eligibility import FLAG_FIELDS
 from grantlens.plans.catalogues import satisfies_sql
-from grantlens.plans.identity import expiry_sql, iso_sql
+from grantlens.plans.identity import CONSISTENCY_SQL, consistency_score, expiry_sql, iso_sql
 from grantlens.plans.registry import job
 from grantlens.plans.sqltext import duck_table, quoted
-from grantlens.plans.views import AS_OF, CASES, cases
+from grantlens.plans.views import AS_OF, CASES, EVIDENCE, cases, evidence
 from grantlens.rules import criteria as K, risks as X
 
 _DIM = {c: t for c, t in {**R.DIMENSION_TYPES}.items()}
@@ -124,31 +124,70 @@ def band_sql(x: str, bands) -> str:
     return "case " + " ".join(f"when {x} >= {b} then '{n}'" for b, n in bands if b is not None) + f" else '{bands[-1][1]}' end"
 
 
-_CATEGORY = "case " + " ".join(f"when lower(trim(community_category)) in ({quoted(ws)}) then '{k}'" for k, ws in C.CATEGORY_WORDS.items()) + " else upper(community_category) end"
+_STATED = "coalesce(nullif(trim(community_category), ''), nullif(trim(community_name), ''))"
+_CATEGORY = "case " + " ".join(f"when lower({_STATED}) in ({quoted(ws)}) then '{k}'" for k, ws in C.CATEGORY_WORDS.items()) + f" else upper({_STATED}) end"
 
 
-@job("profile_from_documents", "N9", "P9", sql=f"""with c as ({CASES}),
-o as (select case_id, 'name' as field, 1 as pr, aadhaar_name as value, 'identity' as source, 100 as confidence from c union all select case_id, 'name', 2, tenth_name, 'ms10', tenth_conf from c
- union all select case_id, 'name', 3, twelfth_name, 'ms12', twelfth_conf from c union all select case_id, 'name', 4, income_name, 'income', coalesce(income_conf, 90) from c union all select case_id, 'name', 5, bank_holder, 'bank', 95 from c
- union all select case_id, 'dob', 1, aadhaar_dob, 'identity', 100 from c union all select case_id, 'dob', 2, tenth_dob, 'ms10', tenth_conf from c
- union all select case_id, 'community', 1, {_CATEGORY}, 'community', community_conf from c union all select case_id, 'community', 2, category, 'entered', 100 from c
- union all select case_id, 'income', 1, case when income_value > 0 then cast(income_value as varchar) end, 'income', coalesce(income_conf, 90) from c union all select case_id, 'income', 2, cast(income as varchar), 'entered', 100 from c),
-b as (select *, row_number() over (partition by case_id, field order by pr) as rn from o where value is not null)
-select case_id, field, case when confidence >= 50 then value end as value, source, confidence, {band_sql('confidence', PROFILE_BANDS)} as status from b where rn = 1""")
+def _marks_sql(of: str) -> str:
+    stated = f"try_cast(nullif(regexp_extract(trim(replace({of}_percentage, '%', '')), '^([0-9]+(?:\\.[0-9]+)?)', 1), '') as double)"
+    derived = f"case when {of}_maximum > 0 then floor({of}_scored * 1.0::double / {of}_maximum * 100 + 0.5) end"
+    x = f"case when {of}_percentage <> '' then {stated} else {derived} end"
+    return f"regexp_replace(cast(cast(round({x}, 4) as decimal(14,4)) as varchar), '\\.?0+$', '') || '%'"
+
+
+def _profile_sql() -> str:
+    filled = lambda x: f"nullif(trim({x}), '')"
+    conf = lambda x: f"coalesce({x}_conf, {R.DEFAULT_CONFIDENCE})"
+    none = "cast(null as integer)"
+    options = [
+        ("name", "identity", filled("aadhaar_name"), 100), ("name", "ms10", filled("tenth_name"), conf("tenth")), ("name", "ms12", filled("twelfth_name"), conf("twelfth")),
+        ("name", "community", filled("community_holder"), conf("community")), ("name", "income", filled("income_name"), conf("income")), ("name", "bank", filled("bank_holder"), 95),
+        ("dob", "identity", filled("aadhaar_dob"), 100), ("dob", "ms10", filled("tenth_dob"), conf("tenth")), ("dob", "ms12", filled("twelfth_dob"), conf("twelfth")),
+        ("community", "community", _CATEGORY, conf("community")), ("community", "entered", filled("category"), 100),
+        ("income", "income", "case when income_value > 0 then cast(income_value as varchar) end", conf("income")), ("income", "entered", "case when income >= 0 then cast(income as varchar) end", 100),
+        ("marks10", "ms10", _marks_sql("tenth"), conf("tenth")), ("marks12", "ms12", _marks_sql("twelfth"), conf("twelfth")),
+        ("parent_name", "community", filled("community_father"), none), ("parent_name", "income", filled("income_father"), none), ("parent_name", "ms12", filled("twelfth_father"), none),
+        ("parent_name", "ms10", filled("tenth_father"), none), ("state", "community", filled("community_state"), none), ("state", "income", filled("income_state"), none),
+        ("state", "default", "'Tamil Nadu'", none), ("district", "community", filled("community_district"), none), ("district", "income", filled("income_district"), none)]
+    rows = " union all ".join(f"select case_id, '{f}' as field, {i} as pr, {v} as value, '{s}' as source, {n} as confidence from c" for i, (f, s, v, n) in enumerate(options))
+    return f"""with c as ({EVIDENCE}), o as ({rows}), b as (select * from o where value is not null qualify row_number() over (partition by case_id, field order by pr) = 1),
+st as (select *, case when confidence is not null then {band_sql('confidence', PROFILE_BANDS)} end as status from b)
+select case_id, field, case when status = 'untrusted' and field in ('name', 'dob', 'community', 'income') then null else value end as value, source, confidence, status from st
+union all select case_id, unnest(['course', 'current_year']), null, null, 0, 'missing' from c"""
+
+
+@job("profile_from_documents", "N9", "P9", sql=_profile_sql())
 def profile_from_documents(spark, base):
-    return R.profile_from_documents(cases(spark, base))
+    return R.profile_from_documents(evidence(spark, base))
+
+
+@job("profile_warnings", "N9", sql=f"""with s as ({CONSISTENCY_SQL})
+select case_id, 'danger' as severity, 'name' as field from s where name_status = 'red' union all select case_id, 'warning', 'name' from s where name_status = 'yellow'
+union all select case_id, 'danger', 'dob' from s where dob_status = 'red' union all select case_id, 'warning', 'income' from s where income_status = 'MISMATCH'
+union all select case_id, 'warning', 'community' from s where community_status = 'MISMATCH'""")
+def profile_warnings(spark, base):
+    return R.profile_warnings(consistency_score(spark, base))
 
 
-@job("document_matrix", "N11", sql=f"""with c as (select *, list_filter([aadhaar_name, tenth_name, twelfth_name, bank_holder, bonafide_name], lambda x: x is not null) as names from ({CASES}) c0)
+def _age_sql(issue: str, months: int, name: str) -> str:
+    return (f"coalesce({expiry_sql(issue, 'cast(null as varchar)', months)} = 'REQUIRES_REVIEW', false) as {name}_expired, "
+            f"cast(floor(date_diff('day', {iso_sql(issue)}, date '{AS_OF}') / 30.44 + 0.5) as bigint) as {name}_months_old")
+
+
+_LATER = ", ".join(f"coalesce(nullif(cast(twelfth_{f} as varchar), ''), nullif(cast(tenth_{f} as varchar), '')) as {f}" for f in ("scored", "percentage", "board", "register_number"))
+
+
+@job("document_matrix", "N11", sql=f"""with c as (select *, list_filter([aadhaar_name, tenth_name, twelfth_name, bank_holder, bonafide_name], lambda x: x is not null) as names from ({EVIDENCE}) c0)
 select case_id, aadhaar_name, tenth_name, twelfth_name, bank_holder, bonafide_name,
- case when len(names) > 1 and len(list_filter(names, lambda n: {sim_sql('names[1]', 'n')} < 0.75)) > 0 then 'MISMATCH' else 'MATCH' end as name_consistency,
+ case when len(names) > 1 and len(list_filter(names, lambda n: {sim_sql('names[1]', 'n')} < 0.75)) > 0 then 'MISMATCH' else 'MATCH' end as name_consistency, tenth_dob, aadhaar_dob,
  case when coalesce({dashed_sql('tenth_dob')} <> {dashed_sql('aadhaar_dob')}, false) then 'MISMATCH' else 'MATCH' end as dob_consistency,
- coalesce(doc_course, course) as course, coalesce(doc_institution, institution) as institution, community_category as category, first_graduate, income_value as income_amount,
- case when income_applicant = 'parent' then coalesce(parent_name, 'Parent') else coalesce(student_name, 'Student') end as income_provider,
- coalesce({expiry_sql('income_issue_date', 'cast(null as varchar)', 12)} = 'REQUIRES_REVIEW', false) as income_expired,
- cast(floor(date_diff('day', {iso_sql('income_issue_date')}, date '{AS_OF}') / 30.44 + 0.5) as bigint) as income_months_old,
- ifsc, regexp_matches(upper(trim(ifsc)), '{R.IFSC}') as ifsc_valid, aadhaar_bank_linked, coalesce(state, doc_state) as state, district from c""")
+ gender as profile_gender, aadhaar_gender, case when gender is null or aadhaar_gender is null then 'UNCONFIRMED' when lower(gender) = lower(aadhaar_gender) then 'MATCH' else 'MISMATCH' end as gender_consistency,
+ tenth_year, twelfth_year, {_LATER},
+ coalesce(doc_course, course) as course, coalesce(doc_institution, institution) as institution, community_name as community, community_category as category, disability_percentage, first_graduate,
+ case when first_graduate_cert then 'certificate' else 'entered' end as first_graduate_source, {_age_sql('community_issue_date', 60, 'community')}, income_value as income_amount, income_year,
+ case when income_applicant = 'parent' then coalesce(parent_name, 'Parent') else coalesce(student_name, 'Student') end as income_provider, income_applicant as income_provider_role,
+ income_name as income_certificate_name, income_cert_number, income_issue_date, {_age_sql('income_issue_date', 12, 'income')},
+ ifsc, regexp_matches(upper(trim(ifsc)), '{R.IFSC}') as ifsc_valid, coalesce(account_type, 'Savings') as account_type, aadhaar_bank_linked, coalesce(state, doc_state) as state,
+ coalesce(district, doc_district) as district, coalesce(domicile, state) as domicile from c""")
 def document_matrix(spark, base):
-    return R.document_matrix(cases(spark, base), F.lit(AS_OF).cast("date"))
-
-
+    return R.document_matrix(evidence(spark, base), F.lit(AS_OF).cast("date"))

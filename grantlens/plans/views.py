@@ -154,6 +154,37 @@ from (select o_orderkey as k, o_orderkey % 27 as s, base, ini, concat(base, ' ',
  join (""" + APPLICANTS.strip() + """) a on a.applicant_id = o.o_custkey) c
 """
 
+# Cases with everything that their documents show.
+EVIDENCE = """
+select c.*, case case_id % 6 when 0 then student_name when 1 then 'RAMESH BABU' when 2 then ' ' else null end as community_holder,
+ case case_id % 9 when 0 then null when 1 then '02-02-2002' else dob end as twelfth_dob,
+ case case_id % 5 when 2 then '' when 3 then 'Hindu Vanniyar' else category end as community_name,
+ case case_id % 5 when 0 then concat(cast(40 + case_id % 55 as varchar(3)), '.50%') when 1 then 'pass' when 2 then '' else null end as tenth_percentage,
+ case case_id % 4 when 0 then concat(cast(35 + case_id % 65 as varchar(3)), '%') else null end as twelfth_percentage,
+ case when case_id % 8 = 0 then null else cast(200 + case_id % 300 as integer) end as tenth_scored, cast(case case_id % 7 when 0 then 0 when 1 then null else 500 end as integer) as tenth_maximum,
+ case when case_id % 6 = 0 then null else cast(250 + case_id % 350 as integer) end as twelfth_scored, cast(case case_id % 9 when 0 then null else 600 end as integer) as twelfth_maximum,
+ case case_id % 3 when 0 then 'RAMAN' when 1 then '' else null end as community_father, case case_id % 4 when 0 then parent_name else null end as income_father,
+ case case_id % 5 when 0 then 'Selvam K' else null end as twelfth_father, case case_id % 7 when 0 then null else 'Murugesan' end as tenth_father,
+ case case_id % 4 when 0 then 'Kerala' when 1 then '' else null end as community_state, case case_id % 3 when 0 then 'Karnataka' else null end as income_state,
+ case case_id % 5 when 0 then 'Erode' else null end as community_district, case case_id % 3 when 0 then 'Theni' else null end as income_district, case case_id % 2 when 0 then 'Salem' else null end as doc_district,
+ case case_id % 4 when 0 then upper(gender) when 1 then 'female' when 2 then null else gender end as aadhaar_gender,
+ case when case_id % 5 = 0 then null else cast(2018 + case_id % 6 as varchar(4)) end as tenth_year, case when case_id % 4 = 0 then null else cast(2020 + case_id % 6 as varchar(4)) end as twelfth_year,
+ case case_id % 3 when 0 then 'CBSE' else 'State Board' end as tenth_board, case case_id % 5 when 0 then '' when 1 then null else 'State Board' end as twelfth_board,
+ concat('R', cast(case_id as varchar(12))) as tenth_register_number, case when case_id % 3 = 0 then concat('H', cast(case_id as varchar(12))) else null end as twelfth_register_number,
+ case case_id % 6 when 0 then null when 1 then '30-02-2020' when 2 then '15/03/2019' when 3 then '2021-05-28' else '01.04.2024' end as community_issue_date,
+ case case_id % 3 when 0 then '2025-26' else null end as income_year, case case_id % 5 when 0 then 'Joint' when 1 then 'Savings' else null end as account_type,
+ case case_id % 4 when 0 then 'Kerala' else null end as domicile, case case_id % 3 when 0 then true when 1 then false else null end as first_graduate_cert
+from (""" + CASES.strip() + """) c
+"""
+
+# Names of parents as applications give them and as income certificates print them.
+PROVIDERS = """
+select case_id, case case_id % 3 when 0 then 'student' when 1 then 'parent' else income_applicant end as income_applicant,
+ case case_id % 7 when 0 then null when 1 then '' else parent_name end as parent_name, case case_id % 14 when 0 then 'Thiru. Selvam K' else null end as father_name, 'Kamala' as mother_name,
+ case case_id % 8 when 0 then concat('Murugan. ', substring(parent_name, 9, 1)) when 1 then 'MURUGAN' when 2 then 'MURUGEN K' when 3 then 'null' when 4 then '  ' when 5 then student_name else parent_name end as income_name
+from (""" + CASES.strip() + """) c
+"""
+
 # Questions: what users wrote, and one templated question per customer.
 UTTERANCES = """
 select conv_id * 1000 + turn as utterance_id, text from conversations where role = 'user'
@@ -277,6 +308,14 @@ def cases(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, CASES).withColumn("scheme_id", F.element_at(ids, (F.col("scheme_no") + 1).cast("int"))).drop("scheme_no")
 
 
+def evidence(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, EVIDENCE)
+
+
+def providers(spark: SparkSession, base: str) -> DataFrame:
+    return sql_over(spark, base, PROVIDERS)
+
+
 def utterances(spark: SparkSession, base: str) -> DataFrame:
     return sql_over(spark, base, UTTERANCES)
 
