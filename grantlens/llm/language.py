@@ -27,6 +27,9 @@ MOST_EXHAUSTIVE = 6
 STEEPNESS = 4.0
 #: A text is ambiguous where the best and the second language differ by less than this share of a usual loss gap.
 AMBIGUOUS = 0.1
+#: A text is foreign to all learned languages where its least loss exceeds this share of the loss of a text on which no bit
+#: decides; only of texts with that many n-grams, since a few say little.
+FOREIGN, FOREIGN_FROM = 0.6, 64
 UNKNOWN = "und"
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -149,31 +152,36 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred, score (0 to 1) and ambiguous.
+    """`docs` with lang_pred, score (0 to 1), ambiguous and foreign.
 
     `und` with score 0 if the text is null or has no letter, or nothing was learned. The score is the
-    share of the best language in exp(-loss).
+    share of the best language in exp(-loss). Equal losses give the first language by name, so a text with letters
+    but without any counted n-gram ("ab") gets that, with the same share for each. A foreign text, whose bits
+    are too weak for any codeword, has the nearest language and counts as ambiguous. Columns of `docs` with these names are replaced.
     """
-    names = "lang_pred", "score", "ambiguous"
+    names = "lang_pred", "score", "ambiguous", "foreign"
+    values = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(False), "foreign": F.lit(False)}
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(False)})
+        return docs.withColumns(values)
 
-    @F.pandas_udf("struct<lang_pred string, score double, ambiguous boolean>")
+    @F.pandas_udf("struct<lang_pred string, score double, ambiguous boolean, foreign boolean>")
     def decode(texts: pd.Series) -> pd.DataFrame:
-        best, score, close = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+        close, foreign = np.zeros(len(texts), bool), np.zeros(len(texts), bool)
+        undecided = model.code.shape[1] * np.log(2)
         for a, b, x in counted(pa.array(texts, pa.large_string(), from_pandas=True)):
             loss = model.losses(x)
             best[a:b] = loss.argmin(1)
             p = np.exp(loss.min(1, keepdims=True) - loss)
             score[a:b] = 1 / p.sum(1)
+            foreign[a:b] = (loss.min(1) > FOREIGN * undecided) & (np.expm1(x).sum(1) >= FOREIGN_FROM - 0.5)
             if loss.shape[1] > 1:
                 two = np.partition(loss, 1, 1)
                 close[a:b] = two[:, 1] - two[:, 0] < AMBIGUOUS * model.gap
-        return pd.DataFrame({"lang_pred": np.array(model.languages, object)[best], "score": score, "ambiguous": close})
+        return pd.DataFrame({"lang_pred": np.array(model.languages, object)[best], "score": score, "ambiguous": close | foreign, "foreign": foreign})
 
     known = F.col(f"`{text}`").isNotNull() & F.col(f"`{text}`").rlike(r"\p{L}")
     rows = docs.withColumn("decoded_language", decode(F.col(f"`{text}`"))).withColumn("has_letters", F.coalesce(known, F.lit(False)))
-    values = {"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "ambiguous": F.lit(False)}
     return rows.withColumns({n: F.when(F.col("has_letters"), F.col(f"decoded_language.{n}")).otherwise(values[n]) for n in names}).drop("decoded_language", "has_letters")
 
 
@@ -187,12 +195,17 @@ def learn_from_documents(docs: DataFrame) -> Model | None:
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous of every document."""
+    """doc_id, held_out, lang_pred, score, ambiguous of every document, one row per row of `docs`.
+
+    Null ids count as empty text for the fold, null texts and such without letters are `und`, rows with a null lang teach nothing;
+    repeated rows are learned and answered as often as they come. An empty table gives an empty result. Other columns aren't read.
+    """
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return predict(rows, learn_from_documents(docs)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def with_language(docs: DataFrame) -> DataFrame:
-    """The documents that have a language; `und` go. Columns stay as they are."""
+    """The documents that have a language: `und` and foreign ones go. Columns and repeated rows stay as they are, whatever
+    their names; an empty table stays empty. Without any learned language every document is `und`."""
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return predict(kept, learn_from_documents(docs)).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return predict(kept, learn_from_documents(docs)).filter((F.col("lang_pred") != UNKNOWN) & ~F.col("foreign")).select("row.*")

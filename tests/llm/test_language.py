@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -66,3 +67,69 @@ def test_a_long_text_counts_the_same_in_pieces():
 
     (_, _, pieces), = L.counted(pa.array([text.decode()]))
     assert np.allclose(whole, pieces, atol=1e-3)
+
+
+def plain_grams(text):
+    """N-grams of a text with their damped counts, by slot, one byte at a time."""
+    letters = [b if b >= 128 else b | 32 if chr(b).isalpha() else 32 for b in text.encode()]
+    counts = {}
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        if b != 32 or (a != 32 and c != 32):
+            slot = ((a | b << 8 | c << 16) * 2654435761 % 2**32) >> 20
+            counts[slot] = counts.get(slot, 0) + 1
+    return {slot: math.log1p(n) for slot, n in counts.items()}
+
+
+def plain_shares(rows):
+    """Share of every slot in the n-grams of each language."""
+    sums = {}
+    for text, lang in rows:
+        own = sums.setdefault(lang, {})
+        for slot, x in plain_grams(text).items():
+            own[slot] = own.get(slot, 0) + x
+    return {lang: [(own.get(slot, 0) + 0.5) / (sum(own.values()) + 0.5 * 4096) for slot in range(4096)] for lang, own in sorted(sums.items())}
+
+
+def test_predictions_equal_a_plain_version(spark):
+    """The same code matrix, but n-grams, sums, weights and losses from dictionaries and loops."""
+    rows = corpus(120, seed=5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.languages(docs).collect()}
+    learn = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    share = plain_shares(learn)
+    langs = list(share)
+    code = [[int(v) for v in row] for row in L.codebook(len(langs))]
+    weights, usual = [], []
+    for b in range(len(code[0])):
+        plus, minus = [x for x, c in zip(langs, code) if c[b] > 0], [x for x, c in zip(langs, code) if c[b] < 0]
+        w = [math.log(sum(share[x][f] for x in plus) / len(plus)) - math.log(sum(share[x][f] for x in minus) / len(minus)) for f in range(4096)]
+        mean = {x: sum(p * v for p, v in zip(share[x], w)) for x in langs}
+        middle = (min(mean[x] for x in plus) + max(mean[x] for x in minus)) / 2
+        w = [v - middle for v in w]
+        scale = sum(abs(sum(p * v for p, v in zip(share[x], w))) for x in langs) / len(langs)
+        weights.append([v / scale for v in w])
+    for i, text, _ in rows:
+        grams = plain_grams(text)
+        n = max(sum(grams.values()), 1)
+        margins = [sum(x * w[slot] for slot, x in grams.items()) / n for w in weights]
+        losses = [sum(math.log1p(math.exp(-4 * m * c)) for m, c in zip(margins, word)) for word in code]
+        best = min(range(len(langs)), key=lambda k: losses[k])
+        score = 1 / sum(math.exp(losses[best] - x) for x in losses)
+        assert got[i].lang_pred == langs[best] and abs(got[i].score - score) < 1e-3
+
+
+def test_foreign_texts_are_flagged_and_go(spark):
+    rng = random.Random(3)
+    salad = " ".join("".join(rng.choice("bcfjkpqvxyzž") for _ in range(rng.randint(2, 9))) for _ in range(300))
+    rows = corpus() + [(1000, salad, None), (1001, "これは学習されていない言語の文章です。" * 20, None), (1002, "zž qx", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.languages(docs).collect()}
+    assert got[1000].ambiguous and got[1001].ambiguous and got[1000].lang_pred in SYLLABLES
+    kept = {r.doc_id for r in L.with_language(docs).collect()}
+    assert not kept & {1000, 1001} and 1002 in kept and set(range(400)) <= kept
+
+
+def test_no_counted_ngram_gives_the_first_language(spark):
+    docs = spark.createDataFrame(corpus() + [(1000, "ab", None)], "doc_id long, text string, lang string")
+    r = L.languages(docs).filter("doc_id = 1000").first()
+    assert r.lang_pred == "aa" and abs(r.score - 0.2) < 1e-6
