@@ -272,3 +272,10 @@ def top_k_per_status(profiles: DataFrame, limits: dict[str, int], key: str = "ap
     lists = F.concat(*[cut(status, k) for status, k in limits.items()])
     ranked = profiles.select(key, _ranked_array(profiles, schemes).alias("results"))
     return ranked.select(key, F.explode(lists).alias("t")).select(key, "t.*")
+
+
+def with_key_documents(matches: DataFrame, catalogue: DataFrame, k: int = 3) -> DataFrame:
+    """Every match with the first k documents that its scheme asks for and the number left out; a scheme without a list asks for none."""
+    asked = catalogue.select(F.col("id").alias("scheme_id"), F.coalesce("documents", F.array().cast("array<string>")).alias("asked"))
+    joined = matches.join(asked, "scheme_id", "left").withColumn("n_asked", F.coalesce(F.size("asked"), F.lit(0)))
+    return joined.select(*matches.columns, F.coalesce(F.array_join(F.slice("asked", 1, k), ", "), F.lit("")).alias("documents"), F.greatest(F.col("n_asked") - k, F.lit(0)).alias("more_documents"))

@@ -146,6 +146,13 @@ def order_risks(cases: DataFrame, as_of: Column, key: str = "case_id", legacy_or
         key, (F.col("pos") + 1).alias("position"), "r.rule_id", "r.severity")
 
 
+def missing_document_lists(cases: DataFrame, as_of: Column, key: str = "case_id", k: int = 4) -> DataFrame:
+    """The first k missing documents of every case, in the scheme's order, and the number left out; cases that uploaded nothing
+    or lack nothing have no row."""
+    lacking = prepare_cases(cases, as_of).filter((F.col("n_uploads") > 0) & (F.col("n_missing") > 0))
+    return lacking.select(key, "scheme_id", "n_missing", F.array_join(F.slice("missing_labels", 1, k), ", ").alias("documents"), F.greatest(F.col("n_missing") - k, F.lit(0)).alias("more"))
+
+
 def readiness_level(score: Column, has_unknown: Column) -> Column:
     """A3."""
     out = F.when(has_unknown & (score >= R.UNCONFIRMED_FROM), R.UNCONFIRMED_LEVEL)

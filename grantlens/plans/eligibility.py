@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from grantlens.operators import eligibility as E, profiles as P
 from grantlens.plans.registry import job
-from grantlens.plans.sqltext import judged_sql, quoted, status_sql, inr_sql
+from grantlens.plans.sqltext import duck_table, judged_sql, quoted, status_sql, inr_sql
 from grantlens.plans.views import APPLICANTS, applicants
 from grantlens.rules import criteria as R
+from grantlens.rules.relations import frame
+from grantlens.rules.schemes import catalogue_a
 
 
 def _criteria_sql() -> str:
@@ -100,10 +102,21 @@ def recommended_schemes(spark, base):
     return E.rank_schemes(applicants(spark, base), only_eligible=True)
 
 
-@job("top_schemes_per_status", "W3", sql=f"""with {status_sql()},
+_TOP = f"""with {status_sql()},
 r as (select *, row_number() over (partition by applicant_id, status order by score desc, scheme_ord) as rn,
   count(*) over (partition by applicant_id, status) as n from results where status in ('{R.CONFIRMED}', '{R.POTENTIAL}')),
 k as (select *, case status when '{R.CONFIRMED}' then 4 else 3 end as k from r)
-select applicant_id, status, cast(rn as integer) as position, scheme_id, score, cast(greatest(n - k, 0) as integer) as more from k where rn <= k""")
+select applicant_id, status, cast(rn as integer) as position, scheme_id, score, cast(greatest(n - k, 0) as integer) as more from k where rn <= k"""
+_ASKED = {"id": "string", "documents": "array<string>"}
+
+
+@job("top_schemes_per_status", "W3", sql=_TOP)
 def top_schemes_per_status(spark, base):
     return E.top_k_per_status(applicants(spark, base), {R.CONFIRMED: 4, R.POTENTIAL: 3})
+
+
+@job("key_documents_of_matches", "W3", sql=f"""with top as ({_TOP}), d as ({duck_table([{"id": r["id"], "documents": r["documents"]} for r in catalogue_a()], _ASKED)})
+select top.*, coalesce(array_to_string(documents[1:3], ', '), '') as documents, cast(greatest(coalesce(len(documents), 0) - 3, 0) as integer) as more_documents from top left join d on d.id = top.scheme_id""")
+def key_documents_of_matches(spark, base):
+    catalogue = frame(spark, [{"id": r["id"], "documents": r["documents"]} for r in catalogue_a()], _ASKED)
+    return E.with_key_documents(top_schemes_per_status(spark, base), catalogue)

@@ -120,6 +120,14 @@ def application_vs_document(spark, base):
     return R.application_vs_document(cases(spark, base))
 
 
+@job("missing_document_lists", "W3", sql=f"""with c as ({CASES}), s as (select *, row_number() over (order by ord) - 1 as scheme_no from ({duck_table(R.scheme_dimension(), _DIM)}) s0),
+m as (select c.case_id, s.id as scheme_id, len(list_filter(string_split(c.uploads, ','), lambda x: x <> '')) as n_uploads,
+ list_filter(s.required_labels, lambda l: len(list_filter(string_split(c.uploads, ','), lambda u: {satisfies_sql('lower(l)', 'lower(u)', False)})) = 0) as missing from c join s using (scheme_no))
+select case_id, scheme_id, cast(len(missing) as integer) as n_missing, array_to_string(missing[1:4], ', ') as documents, cast(greatest(len(missing) - 4, 0) as integer) as more from m where n_uploads > 0 and len(missing) > 0""")
+def missing_document_lists(spark, base):
+    return R.missing_document_lists(cases(spark, base), F.lit(AS_OF).cast("date"))
+
+
 def band_sql(x: str, bands) -> str:
     return "case " + " ".join(f"when {x} >= {b} then '{n}'" for b, n in bands if b is not None) + f" else '{bands[-1][1]}' end"
 

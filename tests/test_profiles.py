@@ -92,3 +92,12 @@ def test_matrix(spark):
 def test_parent_income_check(spark, values, want):
     r = I.parent_income_check(case(spark, **values)).first()
     assert (r.student_name_match, r.parent_name_used, r.match, r.consistent) == want
+
+
+def test_key_documents(spark):
+    from grantlens.operators import eligibility as E
+
+    matches = spark.createDataFrame([(1, "a"), (1, "b"), (2, "none"), (2, "c")], "applicant_id int, scheme_id string")
+    catalogue = spark.createDataFrame([("a", ["x", "y", "z", "u", "v"]), ("b", ["x"]), ("c", None)], "id string, documents array<string>")
+    got = {r.scheme_id: (r.documents, r.more_documents) for r in E.with_key_documents(matches, catalogue).collect()}
+    assert got == {"a": ("x, y, z", 2), "b": ("x", 0), "none": ("", 0), "c": ("", 0)}
