@@ -14,7 +14,7 @@ from grantlens.functions import dates as D
 from grantlens.functions.banding import PROFILE_BANDS, band, js_round
 from grantlens.functions.categories import to_category
 from grantlens.functions.names import letters_key, name_similarity, similarity
-from grantlens.functions.text import blank_to_null, let
+from grantlens.functions.text import blank_to_null, let, unfolded
 from grantlens.operators.catalogues import label_mask, lowered, satisfies, upload_mask
 from grantlens.operators.eligibility import SCHEME_TYPES, rank_of, tally_of, prepare_schemes, profile_fields
 from grantlens.operators.identity import certificate_expiry
@@ -129,7 +129,7 @@ def with_risks(cases: DataFrame, as_of: Column, key: str = "case_id", evidence:
 
 def readiness_risks(cases: DataFrame, as_of: Column, key: str = "case_id", evidence: bool = True) -> DataFrame:
     """One row per risk."""
-    return with_risks(cases, as_of, key, evidence).select(key, "scheme_id", F.explode("risks").alias("r")).select(key, "scheme_id", "r.*")
+    return unfolded(with_risks(cases, as_of, key, evidence), [key, "scheme_id"], F.col("risks"), "r").select(key, "scheme_id", "r.*")
 
 
 def order_risks(cases: DataFrame, as_of: Column, key: str = "case_id", legacy_order: bool = False) -> DataFrame:
