@@ -13,7 +13,6 @@ import os
 import re
 from collections.abc import Iterator
 from itertools import chain, repeat
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +24,17 @@ from grantlens.llm.common import row_blocks, utf8
 END = 0
 #: Distinct words, and characters in them, that a worker remembers.
 CACHE_WORDS, CACHE_CHARS = 500_000, 8_000_000
-#: Bytes of text that are encoded together.
-ENCODE_BYTES = 4 << 20
+#: Bytes of text that are encoded together, and new words that go to the tokenizer in one string.
+ENCODE_BYTES, JOINED_WORDS = 4 << 20, 500
 
-_ID = attrgetter("id")
 _SPACE = "\u0120"
 #: How byte-level models spell the bytes that aren't printable: by the characters from 256 on, in order.
 _SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_SPELLED = np.array([_SPELLING.get(b, b) for b in range(256)], "<u4")
 _CUT = re.compile(r" (?=\S)")
+_MARKS = ".,;:!?"
+#: The letters up to U+00FF, with or without a mark after them.
+_LATIN = f"^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+[{_MARKS}]?$"
 
 
 def default_path() -> str:
@@ -48,24 +50,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(self.tokenizer.to_str())
-        self.added = [t["content"] for t in spec["added_tokens"]]
-        pre = spec["pre_tokenizer"] or {}
-        self.cuts = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None and spec["model"]["type"] == "BPE"
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        given = self.tokenizer.pre_tokenizer
+        pre = json.loads(given.__getstate__()) if given else {}
+        self.cuts = pre.get("type") == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and self.tokenizer.normalizer is None and isinstance(self.tokenizer.model, BPE)
         if self.cuts:
-            # The words' cache below takes the place of the model's own.
-            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-            self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)
-            self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-            self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
+            # The same model for strings of words in the spelling of bytes, each one with its space.
+            self.joined = Tokenizer(self.tokenizer.model)
+            self.joined.pre_tokenizer = Split(_SPACE, "merged_with_next")
+            self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_SPACE) for i in range(self.tokenizer.get_vocab_size())])
+            self.marks = np.full(256, -1, np.int64)
+            for m in _MARKS:
+                self.marks[ord(m)], = self.tokenizer.encode(m, add_special_tokens=False).ids
         self._empty()
 
     def _empty(self) -> None:
         self.words: dict[str, int] = {}
         self.chars, self.n, self.used = 0, 0, 0
-        self.starts, self.lengths, self.seen = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.starts, self.lengths, self.seen = np.zeros(1024, np.int32), np.zeros(1024, np.int32), np.zeros(1024, np.int32)
         self.flat = np.zeros(4096, np.uint32)
 
     def _forget(self) -> None:
@@ -84,7 +89,7 @@ class Encoder:
     def _put(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         n, used = self.n + len(words), self.used + len(ids)
         if n > len(self.starts):
-            self.starts, self.lengths, self.seen = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.starts, self.lengths, self.seen))
+            self.starts, self.lengths, self.seen = (np.concatenate([x, np.zeros(n - len(x) // 2, np.int32)]) for x in (self.starts, self.lengths, self.seen))
         if used > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(used, np.uint32)])
         self.flat[self.used:used] = ids
@@ -93,14 +98,20 @@ class Encoder:
         self.words.update(zip(words, range(self.n, n)))
         self.n, self.used, self.chars = n, used, self.chars + sum(map(len, words))
 
-    def _letters(self, core: str, space: str) -> list[int]:
-        """Ids of letters, after a space or not: a single piece for the model, in its spelling of bytes."""
-        known = self.words.get(core) if space else None
-        if known is not None:
-            return self.flat[self.starts[known]:self.starts[known] + self.lengths[known]].tolist()
-        if not core.isascii():
-            core = core.encode().decode("latin-1").translate(_SPELLING)
-        return list(map(_ID, self.model.tokenize(space + core)))
+    def _spaced(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, lengths) of Latin words that follow a space each: many go to the model in one string, which is cut at the
+        spaces again, and only an id that begins with a space begins a word. A mark behind letters is a piece of its own."""
+        data, at = utf8(words)
+        marks = self.marks[data[at[1:] - 1]]
+        data, at = utf8(pc.utf8_rtrim(words, _MARKS))
+        spelled = _SPELLED[np.insert(data[at[0]:at[-1]], at[:-1] - at[0], 32)]
+        cuts = [*(at[:-1] - at[0] + np.arange(len(words)))[::JOINED_WORDS].tolist(), len(spelled)]
+        strings = [spelled[a:b].tobytes().decode("utf-32-le") for a, b in zip(cuts, cuts[1:])]
+        # One string at a time: the tokenizer's own results take a hundred bytes an id.
+        ids = np.concatenate([np.array(self.joined.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32) for x in strings])
+        starts = np.flatnonzero(self.begins[ids])
+        ends, marked = np.append(starts[1:], len(ids)), marks >= 0
+        return np.insert(ids, ends[marked], marks[marked].astype(np.uint32)), ends - starts + marked
 
     def _add(self, words: list[str]) -> None:
         """Encode words. Keys with a leading space are heads of texts, those with a line feed begin with it, the others follow a space.
@@ -108,23 +119,17 @@ class Encoder:
         Latin letters, with or without one mark after them, go straight to the tokenizer's model, as its
         pre-tokenizer would hand them over; all else goes through the whole tokenizer.
         """
-        ids: list[list[int]] = []
-        rest: list[int] = []
-        forms: list[str] = []
-        for i, w in enumerate(words):
-            lead, core, space = ([], w[1:], "") if w[0] == " " else (self.feed, w[1:], "") if w[0] == "\n" else ([], w, _SPACE)
-            mark = self.marks.get(core[-1:])
-            letters = core[:-1] if mark else core
-            if letters.isalpha() and (letters.isascii() or max(letters) <= "\xff"):
-                ids.append(lead + self._letters(letters, space) + (mark or []))
-            else:
-                ids.append([])
-                rest.append(i)
-                forms.append(core if w[0] == " " else w if w[0] == "\n" else " " + w)
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast(forms, add_special_tokens=False)):
-            ids[i] = e.ids
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._put(words, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
+        array = pa.array(words, pa.string())
+        latin = pc.match_substring_regex(array, _LATIN)
+        rest = array.filter(pc.invert(latin)).to_pylist()
+        if len(rest) < len(words):
+            plain = array.filter(latin)
+            self._put(plain.to_numpy(zero_copy_only=False).tolist(), *self._spaced(plain))
+        if rest:
+            forms = [w[1:] if w[0] == " " else w if w[0] == "\n" else " " + w for w in rest]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(forms, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._put(rest, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths)
 
     def _places(self, keys: list[str]) -> np.ndarray:
         """Places of keys in the cache, where they are put if they aren't there."""
@@ -165,7 +170,7 @@ class Encoder:
         first = np.asarray(split.offsets)
         coded = split.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
         first = first - first[0]
-        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        which, pieces = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         heads = first[:-1]
         inner = np.ones(len(which), bool)
         inner[heads] = False
@@ -196,7 +201,10 @@ class Encoder:
         # One more entry per text, for its end.
         starts, sizes = np.insert(self.starts[at], last, -1), np.insert(self.lengths[at], last, 1)
         ends = np.cumsum(sizes)
-        where = np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]))
+        # Places in the cache and in a block of texts fit into 32 bits.
+        narrow = np.int32 if ends[-1] < 1 << 31 else np.int64
+        where = np.repeat((starts - (ends - sizes)).astype(narrow), sizes)
+        where += np.arange(len(where), dtype=narrow)
         closing = ends[last + np.arange(n)] - 1
         where[closing] = 0
         ids = self.flat[where]

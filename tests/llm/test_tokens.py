@@ -31,6 +31,20 @@ def test_ids_are_those_of_the_whole_text(plain, monkeypatch):
             assert ids[at[i]:at[i + 1]].tolist() == plain(t), repr(t)
 
 
+def test_new_words_go_to_the_tokenizer_in_few_strings(plain, monkeypatch):
+    own, calls = T.Encoder(PATH), []
+    for name in ("tokenizer", "joined"):
+        real = getattr(own, name)
+        monkeypatch.setattr(own, name, type("Counted", (), {"encode_batch_fast": lambda self, x, real=real, **k: calls.extend(x) or real.encode_batch_fast(x, **k)})())
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcxyzÀéßÿªµº", k=rng.randint(1, 9))) + rng.choice(["", *".,;:!?"]) for _ in range(3000)]
+    texts = [" ".join(words[i:i + 30]) for i in range(0, 3000, 30)]
+    ids, at = own.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [plain(t) for t in texts]
+    # The heads of the texts go alone, and nothing else does.
+    assert len(calls) <= len(texts) + 3000 // T.JOINED_WORDS + 1
+
+
 def test_added_tokens_in_texts(plain):
     own = T.Encoder(PATH)
     assert own.added and 50256 in plain("a" + own.added[0] + "b")
