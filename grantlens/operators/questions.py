@@ -39,14 +39,18 @@ def token_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 # --- Q2 -------------------------------------------------------------------------------
 def extract_income(text: Column) -> Column:
     """Yearly income in rupees; the first pattern that matches decides, even if its number is unusable."""
-    norm = F.lower(text)
+    return _income_in(F.lower(text))
+
+
+def _income_in(norm: Column) -> Column:
     out = None
     for pattern, has_unit in U.INCOME_PATTERNS:
         number = F.replace(F.regexp_extract(norm, java(pattern), 1), F.lit(","), F.lit("")).try_cast("double")
         unit = F.regexp_extract(norm, java(pattern), 2) if has_unit else F.lit("")
         factor = F.when(unit.isin(*U.LAKH_UNITS), 100_000.0).when(unit.isin(*U.THOUSAND_UNITS), 1_000.0).otherwise(1.0)
         value = js_round(number * factor)
-        out = F.when(matches(norm, pattern), value) if out is None else out.when(matches(norm, pattern), value)
+        stated = matches(norm, pattern, low=norm)
+        out = F.when(stated, value) if out is None else out.when(stated, value)
     return out
 
 
@@ -60,9 +64,9 @@ def _first_listed(norm: Column, names: list[tuple[str, str]]) -> Column:
     return F.when(F.size(found) > 0, F.get(F.array(*[F.lit(v) for _, v in names]), position.cast("int")))
 
 
-def slot_columns(text: Column) -> dict[str, Column]:
-    norm = F.lower(text)
-    has = lambda p: matches(norm, p, ignore_case=False)
+def slot_columns(norm: Column) -> dict[str, Column]:
+    """The slots of a text in lower case."""
+    has = lambda p: matches(norm, p, ignore_case=False, low=norm)
     category = None
     for name, pattern, unless in U.CATEGORY_SLOTS:
         test = has(pattern) & ~has(unless) if unless else has(pattern)
@@ -93,18 +97,18 @@ def slot_columns(text: Column) -> dict[str, Column]:
         "disabled": F.when(percent.isNotNull(), percent >= 40).when(has(U.DISABLED), True),
         "govt_school": F.when(govt | quota, True).when(has(U.OTHER_SCHOOL), False),
         "agri_labor": F.when(has(U.AGRI_LABOR), True), "armed_forces": F.when(has(U.ARMED_FORCES), True),
-        "first_graduate": F.when(has(U.FIRST_GRADUATE), True), "income": extract_income(text),
+        "first_graduate": F.when(has(U.FIRST_GRADUATE), True), "income": _income_in(norm),
     }
 
 
 def extract_slots(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Q3: everything a question states about its author. A private-school word overrides the quota's school answer."""
-    cols = slot_columns(F.col(text))
-    norm = F.lower(text)
-    cols["govt_school"] = (
-        F.when(matches(norm, U.GOVT_SCHOOL, False), True).when(matches(norm, U.OTHER_SCHOOL, False), False).when(F.col("govt_school_quota"), True))
-    first = df.select(key, text, *[c.alias(n) for n, c in cols.items() if n not in ("govt_school",)])
-    return first.withColumn("govt_school", cols["govt_school"])
+    norm = F.col("norm")
+    cols = slot_columns(norm)
+    has = lambda p: matches(norm, p, False, low=norm)
+    first = df.select(key, text, F.lower(text).alias("norm"))
+    first = first.select(key, text, *[c.alias(n) for n, c in cols.items() if n != "govt_school"], has(U.GOVT_SCHOOL).alias("govt"), has(U.OTHER_SCHOOL).alias("other"))
+    return first.withColumn("govt_school", F.when(F.col("govt"), True).when(F.col("other"), False).when(F.col("govt_school_quota"), True)).drop("govt", "other")
 
 
 # --- Q4, J12 --------------------------------------------------------------------------
@@ -143,15 +147,16 @@ def detect_intent(df: DataFrame, key: str, text: str = "text", phrases: list[dic
     Phrases are looked up by substring first; only those found are tested for word edges.
     """
     rows = U.phrase_rows() if phrases is None else phrases
-    low = F.lower(F.col(text))
-    slots = slot_columns(F.col(text))
+    low = F.col("low")
+    slots = slot_columns(low)
     found = F.filter(_phrase_array(rows), lambda p: low.contains(p.getField("phrase")) & F.rlike(low, p.getField("pattern")))
     wanted = None
     for word in U.ELIGIBILITY_WORDS:
         wanted = low.contains(word) if wanted is None else wanted | low.contains(word)
     stated = slots["category"].isNotNull() | slots["disabled"].isNotNull()
     asks = stated & (wanted | slots["income"].isNotNull() | slots["disabled"].isNotNull())
-    base = df.select(key, *(keep or []), found.alias("hits"), asks.alias("asks"))
+    lowered = df.select("*", F.lower(text).alias("low"))
+    base = lowered.select(key, *(keep or []), found.alias("hits"), asks.alias("asks"))
     first = F.get(F.filter("hits", lambda h: h.getField("is_priority")), F.lit(0)).getField("intent")
     scored = F.filter("hits", lambda h: ~h.getField("is_priority"))
     points = F.transform(scored, lambda h: F.struct(
@@ -351,7 +356,7 @@ def route_queries(df: DataFrame, corpus: DataFrame, key: str, text: str = "text"
     )
     base = df.filter(F.trim(text) != "").select(key, text, early.alias("early"))
     open_rows = base.filter("early is null")
-    slots = slot_columns(F.col(text))
+    slots = slot_columns(F.col("low"))
     states_facts = F.coalesce(slots["category"].isNotNull() | slots["income"].isNotNull() | slots["disabled"].isNotNull(), F.lit(False))
     with_intent = detect_intent(open_rows, key, text, phrases, keep=[F.col(text), states_facts.alias("facts")])
     late = F.when(~F.col("intent").isin(*U.ANSWERED_ELSEWHERE), F.col("intent")).when((F.col("intent") == "eligibility") | F.col("facts"), "eligibility")
