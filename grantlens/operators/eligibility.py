@@ -255,7 +255,8 @@ def rank_schemes(
         ranked = F.filter(ranked, lambda r: r.getField("rank_key") == -R.STATUS_RANK[R.CONFIRMED])
     if top_k is not None:
         ranked = F.slice(ranked, 1, top_k)
-    return profiles.select(key, *keep, F.posexplode(ranked).alias("pos", "r")).select(
+    # From posexplode() Spark infers a filter that judges all schemes again; from the outer form it infers none.
+    return profiles.select(key, *keep, F.posexplode_outer(ranked).alias("pos", "r")).filter(F.col("r").isNotNull()).select(
         key, *keep, (F.col("pos") + 1).alias("position"), "r.scheme_ord", "r.scheme_id",
         status_name(-F.col("r.rank_key")).alias("status"), (-F.col("r.score_key")).alias("score"))
 

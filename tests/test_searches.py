@@ -63,3 +63,9 @@ def test_texts_without_a_literal_are_not_searched(spark):
     df = classify_documents(spark.createDataFrame([(1, "State Bank of India PASSBOOK ifsc")], "k int, text string"), "k")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Contains(") > 50
     assert df.first().doc_type == "bankpass"
+
+
+def test_schemes_are_ranked_once(spark):
+    profiles = spark.createDataFrame([(1, "SC", "Girls"), (2, None, None)], "applicant_id int, category string, gender string")
+    out = rank_schemes(profiles, top_k=2)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sort_array(") == 1 and out.count() == 4
