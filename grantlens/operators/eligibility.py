@@ -154,7 +154,9 @@ def scored_pairs(profiles: DataFrame, schemes: list[dict] | None = None) -> Data
 
 def evaluate_eligibility(profiles: DataFrame, schemes: list[dict] | None = None, key: str = "applicant_id") -> DataFrame:
     """One row per (applicant, scheme, criterion) that the scheme tests."""
-    pairs = judged_pairs(profiles, schemes)
+    # Grouped once per applicant, not once per scheme and again for both forms of the income criterion.
+    income = F.coalesce(F.concat(F.lit("₹"), inr(profile_fields(profiles)("income")), F.lit("/year")), F.lit("Not Provided"))
+    pairs = judged_pairs(profiles.withColumn("income_shown", income), schemes)
     p, s = profile_fields(pairs), _scheme_field
     limit_text = F.concat(F.lit("≤ ₹"), inr(s("income_limit")), F.lit("/year"))
     shown = lambda c: F.coalesce(p(c).cast("string"), F.lit("Not Provided"))
@@ -164,7 +166,7 @@ def evaluate_eligibility(profiles: DataFrame, schemes: list[dict] | None = None,
     }
     actual = {
         "gender": shown("gender"), "state": shown("state"), "district": shown("district"), "course": shown("course"),
-        "income": F.coalesce(F.concat(F.lit("₹"), inr(p("income")), F.lit("/year")), F.lit("Not Provided")),
+        "income": F.col("income_shown"),
         "category": F.coalesce(_student_category(p), F.lit("Not Provided")),
         "disability": shown("disabled"), "govt_school": shown("govt_school"), "agri_labor": shown("agri_labor"),
         "armed_forces": shown("armed_forces"), "first_graduate": shown("first_graduate"), "quota": shown("quota_type"),

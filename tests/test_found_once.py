@@ -40,3 +40,15 @@ def test_literals_leave_captures_as_they_are(spark):
     found = [matches(F.col("t"), p) for _, ps in T.STATES for p in ps], [matches(F.col("t"), p, low="low") for _, ps in T.STATES for p in ps]
     for a, b in ((plain, tested), found):
         assert df.select(F.array(*a)).collect() == df.select(F.array(*b)).collect()
+
+
+def test_an_income_is_grouped_once_per_applicant(spark):
+    from grantlens.operators.eligibility import evaluate_eligibility
+
+    rows = spark.createDataFrame([(1, 1234567), (2, None)], "applicant_id int, income bigint")
+    out = evaluate_eligibility(rows)
+    assert {(r.applicant_id, r.actual) for r in out.filter("criterion = 'Annual Family Income'").collect()} == {(1, "₹12,34,567/year"), (2, "Not Provided")}
+    # One grouping of the applicant's income and one of the scheme's limit; the plan had two of the income before, both per pair.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(cast(income") == 1
+    assert plan.index("explode([") < plan.index("regexp_replace(cast(income")
