@@ -101,10 +101,12 @@ def reports_of_passes(df: DataFrame, as_of: Column, key: str = "doc_id", passes:
     the fields' and the type's. Documents without text have a report without fields; a NULL or empty array counts as one pass
     without text.
     """
-    known = df.select(key, slot, F.col(engine).cast("double").alias("engine"), F.when(F.size(passes) > 0, F.col(passes)).otherwise(F.array(F.lit("").cast("string"))).alias("texts"))
+    # As a string, for rows grouped by a number with a fraction are sorted anew before every grouping; 0.0 makes one of both zeros.
+    known = df.select(key, slot, (F.col(engine).cast("double") + 0.0).cast("string").alias("engine"), F.when(F.size(passes) > 0, F.col(passes)).otherwise(F.array(F.lit("").cast("string"))).alias("texts"))
     kinds = classify_documents(known.withColumn("text", F.get("texts", F.lit(0))), key, "text", keep=(slot, "engine", "texts"))
+    # posexplode() would have all texts made a second time where the table is read, for a filter; there is always one.
     typed = kinds.select(key, F.coalesce(slot, "doc_type").alias("kind"), "doc_type", F.col("confidence").alias("class_confidence"), "engine",
-                         slot_validation(F.col(slot), F.col("doc_type"), F.col("confidence")).alias("validation"), F.posexplode("texts").alias("pos", "text"))
+                         slot_validation(F.col(slot), F.col("doc_type"), F.col("confidence")).alias("validation"), F.posexplode_outer("texts").alias("pos", "text"))
     typed = typed.withColumn("pass_no", F.col("pos") + 1).drop("pos")
     facts = ("doc_type", "class_confidence", "engine", "validation")
     long = X.field_rows(X.with_fields(typed, "text"), [key, "kind", *facts, "pass_no"], outer=True)
@@ -120,4 +122,4 @@ def reports_of_passes(df: DataFrame, as_of: Column, key: str = "doc_id", passes:
     incomplete = F.col("kind").isin(*MARKSHEETS) & (get("name").isNull() | get("marks").isNull() | get("year").isNull())
     return out.select(
         key, "kind", "doc_type", "validation", "n_passes", F.size("fields").alias("n_fields"), F.array_join("issues", ",").alias("issues"), F.array_join("warnings", ",").alias("warnings"),
-        overall_confidence(F.col("engine"), confidences, F.col("class_confidence")).cast("int").alias("confidence"), (F.size("issues") == 0).alias("is_valid"), incomplete.alias("fields_incomplete"))
+        overall_confidence(F.col("engine").cast("double"), confidences, F.col("class_confidence")).cast("int").alias("confidence"), (F.size("issues") == 0).alias("is_valid"), incomplete.alias("fields_incomplete"))

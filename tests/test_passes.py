@@ -88,3 +88,16 @@ def test_reports_of_passes(spark, texts, fields):
     assert ("income_missing" in r[0].issues) != fields
     if texts and texts[0] and texts[0].startswith("GOV"):
         assert (r[0].validation, r[0].is_valid) == ("valid", True)
+
+
+def test_reports_make_texts_once_and_sort_once(spark):
+    """No filter makes the texts where the table is read, as explode() infers one, and one sort serves all groupings of a report."""
+    rows = spark.range(12).repartition(3, "id").selectExpr(
+        "id div 2 as doc_id", "if(id < 6, 'income', null) as slot", "array(concat('INCOME CERTIFICATE\nAnnual Income: Rs. ', 50000 + id, ' per annum'), null) as passes",
+        "case id when 0 then -0.0D when 1 then 0.0D when 2 then double('NaN') when 3 then double('NaN') when 4 then 71.3D else null end as engine")
+    reports = P.reports_of_passes(rows.repartition(3, "doc_id"), F.lit("2026-07-01").cast("date"))
+    plan = reports._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Sort [") == 1 and "Filter (size(" not in plan
+    got = {(r.doc_id, r.confidence) for r in reports.collect()}
+    # Both zeros are one number, and so are two values that are none: their rows are one document.
+    assert len([d for d, _ in got if d < 2]) == 2 and len([d for d, _ in got if d == 2]) == 2 and {d for d, _ in got} == set(range(6))
